@@ -122,20 +122,20 @@ def rank_labels(df: DataFrame, keys: list[str], cluster: str, size: str, presenc
     return stats.withColumn("label", F.char(F.lit(64) + F.row_number().over(w)))
 
 
-def smooth_deltas(s: Series, kw: str, small: bool = False) -> tuple[Series, DataFrame]:
+def smooth_deltas(s: Series, kw: str, noise_factor: float = 2.0, small: bool = False) -> tuple[Series, DataFrame]:
     """Five-minute power change, its smoothing, and the noise threshold per key."""
     raw = rolling_change(s, F.col(kw), "delta")
     smooth = savgol(raw, "delta", "smoothed")
     residual = smooth.frame.withColumn("_res", F.col("delta") - F.col("smoothed"))
-    return smooth, noise_threshold(residual, list(s.keys), "_res", small=small)
+    return smooth, noise_threshold(residual, list(s.keys), "_res", noise_factor, small)
 
 
-def delta_events(minutes: DataFrame, presence: DataFrame, keys: list[str], ts: str, tie: str, kwh: str, flag: str) -> DataFrame:
+def delta_events(minutes: DataFrame, presence: DataFrame, keys: list[str], ts: str, tie: str, kwh: str, flag: str, tolerance_us: int = 1800 * SECOND, noise_factor: float = 2.0) -> DataFrame:
     """Significant power changes with presence, cluster and letter, from minute energy and presence."""
     power = minutes.withColumn("power_kw", F.col(kwh) * 60)
-    here = asof_join(power, presence, keys, ts, ts, [flag], tie, defaults={flag: 0}, tolerance_us=1800 * SECOND)
+    here = asof_join(power, presence, keys, ts, ts, [flag], tie, defaults={flag: 0}, tolerance_us=tolerance_us)
     s = Series.plan(here, keys, ts, (tie,))
-    smooth, noise = smooth_deltas(s, "power_kw", small=s.width is None)
+    smooth, noise = smooth_deltas(s, "power_kw", noise_factor, small=s.width is None)
     noise = cut(noise)
     smooth = smooth.attach(noise.select(*keys, "threshold"))
     peaks = extrema(smooth, "smoothed", "threshold").rows().select(*keys, ts, tie, F.col("smoothed").alias("value"), F.abs("smoothed").alias("size"), "kind", flag)

@@ -27,8 +27,9 @@ def with_views(sql: str) -> str:
     if not needed:
         return body
     views = ", ".join(f"{n} AS ({VIEW_SQL[n]})" for n in needed)
-    if re.match(r"WITH\b", body):
-        return f"WITH {views}, {body[4:].strip()}"
+    head = re.match(r"WITH (RECURSIVE )?", body)
+    if head:
+        return f"{head[0]}{views}, {body[head.end():]}"
     return f"WITH {views} {body}"
 
 

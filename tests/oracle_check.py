@@ -1,4 +1,4 @@
-"""Run registered queries beside their SQL in DuckDB: python -m tests.oracle_check [sf] [name ...]"""
+"""Run registered queries beside their SQL in DuckDB: python -m tests.oracle_check [--rows-per-chunk=N] [sf] [name ...]"""
 
 from __future__ import annotations
 
@@ -29,7 +29,7 @@ def plain(v):
     if isinstance(v, (int, float)):
         if isinstance(v, float) and math.isnan(v):
             return "None"
-        return repr(round(float(v), 6) + 0.0)
+        return repr(round(float(v), 9) + 0.0)
     if isinstance(v, (list, tuple)):
         return repr([plain(x) for x in v])
     return str(v)
@@ -62,8 +62,11 @@ def main() -> int:
     from tests.conftest import make_session
 
     args = sys.argv[1:]
+    chunk = args.pop(0)[len("--rows-per-chunk=") :] if args and args[0].startswith("--rows-per-chunk=") else None
     folder = f"{ROOT}/{args[0] if args else 'sf0.01'}"
     spark, con = make_session(), connect(folder)
+    if chunk:
+        spark.conf.set("gaugeworks.series.rowsPerChunk", chunk)
     queries, oracles, bad = entry.queries(), entry.oracle_sql(), 0
     for name in args[1:] or queries:
         t = time.time()
