@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import fits_one_task
+
 _STEPS = 512
 _SHIFT = 1_000_000
 
@@ -19,13 +21,13 @@ def _bucket(v: Column) -> Column:
     return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0).cast("long"))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: Column, quantiles: dict[str, float], small: bool = False) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: Column, quantiles: dict[str, float], small: bool | None = None) -> DataFrame:
     """One row per key with linearly interpolated quantiles, nulls ignored.
 
-    ``small`` marks input known to fit one aggregation buffer per key.
+    ``small`` says whether the values of a key fit one aggregation buffer; unset, a bounded count decides.
     """
     rows = df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    if small:
+    if fits_one_task(rows) if small is None else small:
         return rows.groupBy(*keys).agg(*[F.percentile("_v", q).alias(n) for n, q in quantiles.items()])
 
     rows = rows.withColumn("_b", _bucket(F.col("_v")))
@@ -67,5 +69,5 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column, quantiles: di
     return values.groupBy(*keys).agg(*out)
 
 
-def exact_median(df: DataFrame, keys: list[str], value: Column, name: str, small: bool = False) -> DataFrame:
+def exact_median(df: DataFrame, keys: list[str], value: Column, name: str, small: bool | None = None) -> DataFrame:
     return exact_quantiles(df, keys, value, {name: 0.5}, small)

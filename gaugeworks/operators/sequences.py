@@ -269,34 +269,35 @@ def extrema(s: Series, value: str, threshold: Column | str, name: str = "kind")
     return n.with_frame(df.drop("_before", "_after"))
 
 
-def run_length(s: Series, member: Column, name: str, same_as: str | None = None) -> Series:
-    """Rows so far in the current unbroken run of ``member`` rows (0 outside).
+def run_lengths(s: Series, rules: dict[str, tuple[Column, str | None]]) -> Series:
+    """Rows so far in the current unbroken run of member rows (0 outside), one column per rule.
 
-    With ``same_as`` a run also needs an unchanged value of that column.
+    A rule is (membership, column): with a column the run also needs an unchanged value of it.  All rules
+    share two passes: one numbers the rows and looks back a row, one carries each run's first row number.
     """
-    on = F.coalesce(member, F.lit(False))
-    base = s.running(sums={"_rn": F.lit(1).cast("long")})
-    base = base.neighbours({"_prev_on": on, **({"_prev_same": F.col(same_as)} if same_as else {})})
-    fresh = ~F.coalesce(F.col("_prev_on"), F.lit(False))
-    if same_as:
-        fresh = fresh | ~F.coalesce(F.col("_prev_same") == F.col(same_as), F.lit(False))
-    start = F.when(on & fresh, F.col("_rn"))
-    out = base.with_frame(base.frame.withColumn("_start", start)).running(lasts={"_start": F.col("_start")})
-    length = F.when(on, F.col("_rn") - F.col("_start") + 1).otherwise(F.lit(0).cast("long"))
-    return out.with_frame(out.frame.withColumn(name, length).drop("_rn", "_prev_on", "_prev_same", "_start"))
+    one = F.lit(1).cast("long")
+    member = {n: F.coalesce(m, F.lit(False)) for n, (m, _) in rules.items()}
+    prev = {"_p_" + n: m for n, m in member.items()}
+    prev |= {"_v_" + n: F.col(same) for n, (_, same) in rules.items() if same}
+    base = s.scan(prev=prev, sums={"_rn": one}).settle()
+    starts = {}
+    for n, (_, same) in rules.items():
+        fresh = ~F.coalesce(F.col("_p_" + n), F.lit(False))
+        if same:
+            fresh = fresh | ~F.coalesce(F.col("_v_" + n) == F.col(same), F.lit(False))
+        starts["_s_" + n] = F.when(member[n] & fresh, F.col("_rn"))
+    out = base.running(lasts=starts)
+    zero = F.lit(0).cast("long")
+    lengths = {n: F.when(member[n], F.col("_rn") - F.col("_s_" + n) + 1).otherwise(zero) for n in rules}
+    return out.with_frame(out.frame.withColumns(lengths).drop("_rn", *prev, *starts))
 
 
 def alerts(s: Series, distance: str, light: str, zero_distance: int = 10, zero_light: int = 5, same_light: int = 5, missing_light: int = 3) -> DataFrame:
     """Rows at which a sensor-health counter has reached its limit, one row per rule."""
-    rules = {
-        "zero_distance": (F.col(distance) == 0, zero_distance, None),
-        "zero_light": (F.col(light) == 0, zero_light, None),
-        "identical_light": (F.col(light).isNotNull(), same_light, light),
-        "missing_light": (F.col(light).isNull(), missing_light, None),
-    }
-    for rule, (member, _, same) in rules.items():
-        s = run_length(s, member, "_n_" + rule, same)
-    hits = F.array(*[F.struct(F.lit(r).alias("rule"), F.col("_n_" + r).alias("run"), F.lit(n).alias("_min")) for r, (_, n, _) in rules.items()])
-    rows = s.rows().select(*s.keys, *s.order, F.explode(F.filter(hits, lambda h: h["run"] >= h["_min"])).alias("_h"))
+    limits = {"zero_distance": zero_distance, "zero_light": zero_light, "identical_light": same_light, "missing_light": missing_light}
+    d, x = F.col(distance), F.col(light)
+    rules = {"zero_distance": (d == 0, None), "zero_light": (x == 0, None), "identical_light": (x.isNotNull(), light), "missing_light": (x.isNull(), None)}
+    counted = run_lengths(s, rules).rows()
+    hits = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("run"), F.lit(n).alias("_min")) for r, n in limits.items()])
+    rows = counted.select(*s.keys, *s.order, F.explode(F.filter(hits, lambda h: h["run"] >= h["_min"])).alias("_h"))
     return rows.select(*s.keys, *s.order, "_h.rule", "_h.run")
-

@@ -16,6 +16,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 CHUNK = "_chunk"
 OWN = "_own"
 SECOND = 1_000_000
@@ -57,14 +59,25 @@ def _peak(df: DataFrame, keys: list[str], ts: str, widths: tuple[int, ...]) -> d
     return {r["_w"]: r["_n"] for r in rows}
 
 
-def choose_width(df: DataFrame, keys: list[str], ts: str, rows_per_chunk: int) -> int | None:
-    """Widest chunk (in microseconds) whose fullest (key, chunk) stays within ``rows_per_chunk``."""
-    if df.count() <= rows_per_chunk:
+def rows_per_chunk(spark) -> int:
+    return int(spark.conf.get(ROWS_PER_CHUNK_CONF, str(DEFAULT_ROWS_PER_CHUNK)))
+
+
+def fits_one_task(df: DataFrame) -> bool:
+    """Whether all rows together are no more than one chunk may hold; reads at most that many."""
+    limit = rows_per_chunk(df.sparkSession)
+    return df.select(F.lit(1)).limit(limit + 1).count() <= limit
+
+
+def choose_width(df: DataFrame, keys: list[str], ts: str) -> int | None:
+    """Widest chunk (in microseconds) whose fullest (key, chunk) stays within the configured rows."""
+    if fits_one_task(df):
         return None
+    limit = rows_per_chunk(df.sparkSession)
     for widths in (COARSE_WIDTHS, FINE_WIDTHS):
         peak = _peak(df, keys, ts, widths)
         for w in widths:
-            if peak.get(w, 0) <= rows_per_chunk:
+            if peak.get(w, 0) <= limit:
                 return w
     return FINE_WIDTHS[-1]
 
@@ -89,8 +102,7 @@ class Series:
 
     @classmethod
     def plan(cls, df: DataFrame, keys, ts: str, tie=()) -> Series:
-        conf = df.sparkSession.conf.get(ROWS_PER_CHUNK_CONF, str(DEFAULT_ROWS_PER_CHUNK))
-        return cls.of(df, keys, ts, tie, choose_width(df, list(keys), ts, int(conf)))
+        return cls.of(df, keys, ts, tie, choose_width(df, list(keys), ts))
 
     @property
     def parts(self) -> list[str]:
@@ -123,52 +135,72 @@ class Series:
             side = self.frame.select(*self.parts).distinct().join(per_key, list(self.keys))
         return self.with_frame(self.frame.join(side, self.parts, "left"))
 
-    def neighbours(self, prev: dict[str, Column] | None = None, next: dict[str, Column] | None = None) -> Series:
-        """Add values of the previous and the next row of the same key."""
+    def scan(
+        self,
+        prev: dict[str, Column] | None = None,
+        next: dict[str, Column] | None = None,
+        sums: dict[str, Column] | None = None,
+        lasts: dict[str, Column] | None = None,
+    ) -> Series:
+        """One ordered pass: values of the previous and next row of the key, running totals, and the latest
+        non-null value so far (totals and latest include the row itself).
+
+        Chunked, one aggregate per (key, chunk) feeds all of them and is joined back once.
+        """
+        prev, next, sums, lasts = prev or {}, next or {}, sums or {}, lasts or {}
         df, w = self.frame, self.window()
-        keep = df.columns
-        sides = [(s, f, n) for s, f, n in ((prev, F.lag, "_prev"), (next, F.lead, "_next")) if s]
-        packed = {n: F.struct(*[c.alias(k) for k, c in s.items()]) for s, _, n in sides}
-        edge = {n: n + "_edge" for n in packed}
+        upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        pack = lambda cols: F.struct(*[c.alias(k) for k, c in cols.items()])
+        local = {}
+        if prev:
+            local["_prev"] = F.lag(pack(prev)).over(w)
+        if next:
+            local["_next"] = F.lead(pack(next)).over(w)
+        local |= {n: F.sum(c).over(upto) for n, c in sums.items()}
+        local |= {n: F.last(c, ignorenulls=True).over(upto) for n, c in lasts.items()}
         if self.width is not None:
-            pick = {"_prev": F.max_by, "_next": F.min_by}
-            edges = df.groupBy(*self.parts).agg(*[pick[n](p, self.order_key()).alias(edge[n]) for n, p in packed.items()])
-            carry = edges.select(*self.parts, *[f(edge[n]).over(self._chunks()).alias(edge[n]) for _, f, n in sides])
-            df = df.join(carry, self.parts, "left")
-        for _, f, n in sides:
-            local = f(packed[n]).over(w)
-            df = df.withColumn(n, local if self.width is None else F.coalesce(local, F.col(edge[n])))
-        out = [F.col(n)[k].alias(k) for s, _, n in sides for k in s]
-        taken = {k for s, _, _ in sides for k in s}
-        return self.with_frame(df.select(*[c for c in keep if c not in taken], *out))
+            df = df.join(self._carry(prev, next, sums, lasts, pack), self.parts, "left")
+            for n, c in local.items():
+                carried = F.col("_c_" + n)
+                if n in sums:
+                    local[n] = F.when(c.isNull(), carried).otherwise(c + F.coalesce(carried, F.lit(0)))
+                else:
+                    local[n] = F.coalesce(c, carried)
+        made = [*prev, *next, *sums, *lasts]
+        keep = [c for c in self.frame.columns if c not in made]
+        out = df.select(*keep, *[c.alias("_s_" + n) for n, c in local.items()])
+        sides = [F.col("_s__prev")[k].alias(k) for k in prev] + [F.col("_s__next")[k].alias(k) for k in next]
+        return self.with_frame(out.select(*keep, *sides, *[F.col("_s_" + n).alias(n) for n in [*sums, *lasts]]))
+
+    def _carry(self, prev, next, sums, lasts, pack) -> DataFrame:
+        """What each (key, chunk) takes over from the chunks around it."""
+        at, order = self.order_key(), self._chunks()
+        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        totals, carried = {}, {}
+        if prev:
+            totals["_prev"] = F.max_by(pack(prev), at)
+            carried["_prev"] = F.lag("_t__prev").over(order)
+        if next:
+            totals["_next"] = F.min_by(pack(next), at)
+            carried["_next"] = F.lead("_t__next").over(order)
+        for n, c in sums.items():
+            totals[n] = F.sum(c)
+            carried[n] = F.sum("_t_" + n).over(before)
+        for n, c in lasts.items():
+            totals[n] = F.max_by(c, F.when(c.isNotNull(), at))
+            carried[n] = F.last("_t_" + n, ignorenulls=True).over(before)
+        per_chunk = self.frame.groupBy(*self.parts).agg(*[c.alias("_t_" + n) for n, c in totals.items()])
+        return per_chunk.select(*self.parts, *[c.alias("_c_" + n) for n, c in carried.items()])
+
+    def neighbours(self, prev: dict[str, Column] | None = None, next: dict[str, Column] | None = None) -> Series:
+        return self.scan(prev=prev, next=next)
 
     def running(self, sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> Series:
-        """Add running totals and the latest non-null value, both including the row itself."""
-        sums, lasts = sums or {}, lasts or {}
-        df, keep = self.frame, self.frame.columns
-        upto = self.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        cols = {n: F.sum(c).over(upto) for n, c in sums.items()}
-        cols |= {n: F.last(c, ignorenulls=True).over(upto) for n, c in lasts.items()}
-        if self.width is not None:
-            totals = df.groupBy(*self.parts).agg(
-                *[F.sum(c).alias("_t_" + n) for n, c in sums.items()],
-                *[F.max_by(c, F.when(c.isNotNull(), self.order_key())).alias("_t_" + n) for n, c in lasts.items()],
-            )
-            before = self._chunks().rowsBetween(Window.unboundedPreceding, -1)
-            carry = totals.select(
-                *self.parts,
-                *[F.sum("_t_" + n).over(before).alias("_t_" + n) for n in sums],
-                *[F.last("_t_" + n, ignorenulls=True).over(before).alias("_t_" + n) for n in lasts],
-            )
-            df = df.join(carry, self.parts, "left")
-            for n in sums:
-                local = cols[n]
-                cols[n] = F.when(local.isNull(), F.col("_t_" + n)).otherwise(
-                    local + F.coalesce(F.col("_t_" + n), F.lit(0))
-                )
-            for n in lasts:
-                cols[n] = F.coalesce(cols[n], F.col("_t_" + n))
-        return self.with_frame(df.select(*[c for c in keep if c not in cols], *[c.alias(n) for n, c in cols.items()]))
+        return self.scan(sums=sums, lasts=lasts)
+
+    def settle(self) -> Series:
+        """Write a chunked frame that several passes will read to the checkpoint folder."""
+        return self if self.width is None else self.with_frame(cut(self.frame))
 
     def row_halo(self, before: int, after: int) -> Series:
         """Copy up to ``before``/``after`` bordering rows into each chunk; originals have ``_own`` true.

@@ -143,7 +143,7 @@ def comparison_windows(before_anchor: str, after_anchor: str, days: int = 90) ->
     return [("before", a - timedelta(days=days), a - timedelta(days=1)), ("after", b + timedelta(days=1), b + timedelta(days=days))]
 
 
-def compare_periods(df: DataFrame, keys: list[str], day: str, value: str, before_anchor: str, after_anchor: str, days: int = 90, small: bool = False) -> DataFrame:
+def compare_periods(df: DataFrame, keys: list[str], day: str, value: str, before_anchor: str, after_anchor: str, days: int = 90, small: bool | None = None) -> DataFrame:
     """Daily statistics of the periods before and after a change, with differences, one row per key."""
     (_, a0, a1), (_, b0, b1) = comparison_windows(before_anchor, after_anchor, days)
     d = F.col(day)
@@ -179,7 +179,7 @@ def weighted_pct(s: Series, is_open: str, is_light: str, open_size: int = 10, ni
 
     A sample weighs the gap to the next one (the median gap for the last), at most max(30 min, 3 medians).
     """
-    keys, ids = list(s.keys), [*s.keys, *s.order]
+    keys = list(s.keys)
     night_col = hour_between(F.col(s.ts), *night)
     base = with_gaps(s, 1800 * SECOND, 3.0)
     lone = F.lit(60.0 * SECOND)
@@ -187,7 +187,8 @@ def weighted_pct(s: Series, is_open: str, is_light: str, open_size: int = 10, ni
     cap = F.greatest(F.lit(1800.0 * SECOND), typical * 3)
     gap = F.coalesce((F.col("_next_us") - F.col("_us")).cast("double"), typical)
     df = base.frame.select(*s.frame.columns, F.greatest(F.lit(0.0), F.least(gap, cap)).alias("_w"), night_col.alias("_night"), cap.alias("_cap"))
-    rows = s.with_frame(df)
+    rows = s.with_frame(df).settle()
+    df = rows.frame
 
     def events(mask: Column, size: int, strict: bool, name: str) -> DataFrame:
         act, summary = mask_events(rows, mask, F.col("_cap"))
@@ -232,7 +233,7 @@ def pick_entity(df: DataFrame, keys: list[str], ts: str, days: list) -> DataFram
     return full.unionByName(every).orderBy("_o", *keys).limit(1).drop("_o")
 
 
-def burst_median(df: DataFrame, keys: list[str], value: str, small: bool = False) -> DataFrame:
+def burst_median(df: DataFrame, keys: list[str], value: str, small: bool | None = None) -> DataFrame:
     """Median of a burst's non-zero samples; 0 when all are zero, null when there are none."""
     v = F.col(value)
     seen = df.groupBy(*keys).agg(F.count(v).alias("_n"))
@@ -241,7 +242,7 @@ def burst_median(df: DataFrame, keys: list[str], value: str, small: bool = False
     return seen.join(mid, keys, "left").select(*keys, out.alias("burst_value"))
 
 
-def noise_threshold(df: DataFrame, keys: list[str], value: str, factor: float = 2.0, small: bool = False) -> DataFrame:
+def noise_threshold(df: DataFrame, keys: list[str], value: str, factor: float = 2.0, small: bool | None = None) -> DataFrame:
     """Robust noise level: 1.4826 * MAD, the sample deviation when that is zero; threshold = factor * level."""
     v = F.col(value)
     centre = exact_median(df, keys, v, "_mid", small)
@@ -252,7 +253,7 @@ def noise_threshold(df: DataFrame, keys: list[str], value: str, factor: float =
     return dev.join(mad, keys).select(*keys, sigma.alias("sigma"), F.when(sigma > 0, sigma * factor).otherwise(0.0).alias("threshold"))
 
 
-def band_summary(events: DataFrame, band: str, minutes: str, litres: str, small: bool = False) -> DataFrame:
+def band_summary(events: DataFrame, band: str, minutes: str, litres: str, small: bool | None = None) -> DataFrame:
     """Events, litres, median length and percent of litres per band; events outside all bands are left out."""
     inside = events.where(F.col(band).isNotNull())
     sums = inside.groupBy(band).agg(F.count("*").alias("events"), F.sum(litres).alias("litres"))
@@ -265,7 +266,7 @@ def length_histogram(events: DataFrame, minutes: str) -> DataFrame:
     return events.groupBy(F.floor(minutes).alias("minute")).agg(F.count("*").alias("events"))
 
 
-def length_percentiles(events: DataFrame, keys: list[str], minutes: str, small: bool = False) -> DataFrame:
+def length_percentiles(events: DataFrame, keys: list[str], minutes: str, small: bool | None = None) -> DataFrame:
     return exact_quantiles(events, keys, F.col(minutes), {"p95": 0.95, "p99": 0.99}, small)
 
 

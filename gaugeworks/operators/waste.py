@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import period, to_litres, to_num
+from ..functions.scalars import period, to_num, unit_factor
 from .asof import check_positive, effective_join
 
 # Names of the hazard properties.
@@ -32,9 +32,11 @@ def flag_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.upper().startswith("HP")]
 
 
-def _long(df: DataFrame, date: str, flags: list[str], amount) -> DataFrame:
-    cells = F.array(*[F.struct(F.lit(f).alias("hp"), amount(f).alias("litres")) for f in flags])
-    return df.select(F.col(date).cast("date").alias("d"), F.explode(cells).alias("_c")).select("d", "_c.hp", "_c.litres")
+def _number(df: DataFrame, name: str) -> Column:
+    """Numeric column as double with zero for null; text goes through the lenient parser."""
+    if dict(df.dtypes)[name] in ("string",):
+        return to_num(F.col(name))
+    return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
 
 
 def allocate(df: DataFrame, date: str = "d", size: str = "size", unit: str = "unit", flags: list[str] | None = None, mode: str = "split", since: Column | None = None) -> DataFrame:
@@ -42,21 +44,23 @@ def allocate(df: DataFrame, date: str = "d", size: str = "size", unit: str = "un
 
     ``split`` shares a row's litres evenly over its flags above zero (nothing without flags, unknown unit
     counts as litres).  ``weighted`` adds flag * litres unsplit and ignores rows with an unknown unit.
-    Rows without a date are dropped.
+    Rows without a date are dropped.  Days are summed over all flags at once and unrolled afterwards.
     """
     flags = flags or flag_columns(df)
     df = df.where(F.col(date).isNotNull())
     if since is not None:
         df = df.where(F.col(date) >= since)
-    flag = {f: to_num(F.col(f)) for f in flags}
+    flag = {f: _number(df, f) for f in flags}
+    amount = _number(df, size) * unit_factor(F.col(unit), mode="null" if mode == "weighted" else "one")
     if mode == "weighted":
-        litres = to_litres(F.col(size).cast("string"), F.col(unit), mode="null")
-        long = _long(df, date, flags, lambda f: F.coalesce(flag[f] * litres, F.lit(0.0)))
+        share = {f: F.coalesce(flag[f] * F.col("_l"), F.lit(0.0)) for f in flags}
     else:
-        litres = to_litres(F.col(size).cast("string"), F.col(unit), mode="one")
         active = sum((F.when(flag[f] > 0, 1).otherwise(0) for f in flags), F.lit(0))
-        long = _long(df, date, flags, lambda f: F.when(flag[f] > 0, litres / active).otherwise(F.lit(0.0)))
-    return long.groupBy("d", "hp").agg(F.sum("litres").alias("litres"))
+        amount = F.when(active > 0, amount / active).otherwise(F.lit(0.0))
+        share = {f: F.when(flag[f] > 0, F.col("_l")).otherwise(F.lit(0.0)) for f in flags}
+    daily = df.withColumn("_l", amount).groupBy(F.col(date).cast("date").alias("d")).agg(*[F.sum(share[f]).alias(f) for f in flags])
+    cells = F.array(*[F.struct(F.lit(f).alias("hp"), F.col(f).alias("litres")) for f in flags])
+    return daily.select("d", F.explode(cells).alias("_c")).select("d", "_c.hp", "_c.litres")
 
 
 def period_total(long: DataFrame, unit: str = "quarter", value: str = "litres", name: str = "period") -> DataFrame:

@@ -17,10 +17,12 @@ class Tables:
     """Base tables of one folder and the views over them; nothing is read before it is used."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self._read = spark, folder, {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._read[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
@@ -109,11 +111,11 @@ class Tables:
     @cached_property
     def headcount(self) -> DataFrame:
         """People per date; three effective dates as the dimension is small by nature."""
-        return self.spark.createDataFrame(HEADCOUNT, "effective_date string, total_people int").withColumn("effective_date", F.col("effective_date").cast("date"))
+        return self.spark.sql(VIEW_SQL["headcount"])
 
     @cached_property
     def windows(self) -> DataFrame:
-        return self.spark.createDataFrame(WINDOWS, "label string, a string, b string").select("label", F.col("a").cast("date").alias("start_d"), F.col("b").cast("date").alias("end_d"))
+        return self.spark.sql(VIEW_SQL["windows"])
 
 
 # Distance ranges of known false echoes, in millimetres.
@@ -126,6 +128,10 @@ def _literal_rows(rows, form) -> str:
     return " UNION ALL ".join(f"SELECT {form(r)}" for r in rows)
 
 
+def _values(columns: str, rows, form) -> str:
+    return f"SELECT * FROM (VALUES {', '.join(f'({form(r)})' for r in rows)}) AS v({columns})"
+
+
 VIEW_SQL = {
     "readings": """SELECT event_id, user_id, ts, CASE WHEN event_type = 'error' THEN -1.0 ELSE 765.0 - 2.0 * value END AS distance,
         CASE WHEN value < 60 THEN 0.0 ELSE value END AS light, value AS water FROM events""",
@@ -149,6 +155,6 @@ VIEW_SQL = {
     "hoods": """SELECT c_custkey AS user_id, CAST(765 AS DOUBLE) AS closed_mm, CAST(100 AS DOUBLE) AS open_mm, CAST(18 AS DOUBLE) AS room_lux,
         CAST(80 AS DOUBLE) AS hood_lux FROM customer WHERE c_acctbal > 0""",
     "ranges": "SELECT user_id, r.low, r.high FROM hoods CROSS JOIN (" + _literal_rows(EXCLUDED, lambda r: f"CAST({r[0]} AS DOUBLE) AS low, CAST({r[1]} AS DOUBLE) AS high") + ") r",
-    "headcount": _literal_rows(HEADCOUNT, lambda r: f"DATE '{r[0]}' AS effective_date, {r[1]} AS total_people"),
-    "windows": _literal_rows(WINDOWS, lambda r: f"'{r[0]}' AS label, DATE '{r[1]}' AS start_d, DATE '{r[2]}' AS end_d"),
+    "headcount": _values("effective_date, total_people", HEADCOUNT, lambda r: f"DATE '{r[0]}', {r[1]}"),
+    "windows": _values("label, start_d, end_d", WINDOWS, lambda r: f"'{r[0]}', DATE '{r[1]}', DATE '{r[2]}'"),
 }

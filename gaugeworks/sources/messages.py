@@ -18,11 +18,15 @@ BARE_NONE = r"[:\[,]\s*None\s*[,}\]]"
 
 
 def decode(df: DataFrame, payload: str) -> DataFrame:
-    """Messages with parsed fields and ``reject``, the reason a message is refused (null when good)."""
+    """Messages with parsed fields and ``reject``, the reason a message is refused (null when good).
+
+    The parse sits in a one-element generator, so that filters on its result do not repeat it.
+    """
     text = F.translate(F.col(payload), "'", '"')
-    m = F.from_json(text, MESSAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-    out = df.withColumn("_m", m)
-    bad = F.col("_m").isNull() | F.col(f"_m.{CORRUPT}").isNotNull() | text.rlike(BARE_NONE)
+    spoiled = text.rlike(BARE_NONE)
+    m = F.from_json(F.when(~spoiled, text), MESSAGE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    out = df.select(*df.columns, F.explode(F.array(m)).alias("_m"))
+    bad = F.col("_m").isNull() | F.col(f"_m.{CORRUPT}").isNotNull()
     empty = F.coalesce(F.col("_m.sensorReadings"), F.lit("")).isin("", "{}", "[]", "0", "false")
     lacking = F.col("_m.labId").isNull() | F.col("_m.sublabId").isNull() | (F.coalesce(F.col("_m.measureTimestamp"), F.lit("")) == "") | empty
     reject = F.when(bad, "invalid json").when(lacking, "missing field")
