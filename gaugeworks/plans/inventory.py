@@ -31,9 +31,9 @@ def unit_convert(t):
     return t.containers.select(*ITEM, "size", "unit", litres)
 
 
-@query("unit_totals", f"SELECT cas, round(coalesce(sum({LITRES}), 0), 4) AS litres, count(*) FILTER (({LITRES}) IS NULL) AS skipped FROM containers GROUP BY cas")
+@query("unit_totals", f"SELECT cas, round(coalesce(sum({LITRES}), 0), 7) AS litres, count(*) FILTER (({LITRES}) IS NULL) AS skipped FROM containers GROUP BY cas")
 def unit_totals(t):
-    return stock.litres_by_code(t.containers).withColumn("litres", F.round("litres", 4))
+    return stock.litres_by_code(t.containers).withColumn("litres", F.round("litres", 7))
 
 
 @query("flatten_containers", "SELECT cas, count(*) AS containers, count(location) AS located FROM containers GROUP BY cas")

@@ -80,6 +80,6 @@ def write_clean(df: DataFrame, path: str, fmt: str, run_date: date) -> None:
     if fmt == "csv":
         lists = [c for c, kind in out.dtypes if kind.startswith("array")]
         out = out.withColumns({c: F.to_json(c) for c in lists})
-        out.write.mode("overwrite").option("header", True).csv(path)
+        out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     else:
         out.write.mode("overwrite").json(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import normalize_codes, one_hot, parse_codes, to_num
+
 # Positional names of a headerless waste sheet.
 POSITIONAL = {"Unnamed: 0": "Date", "Unnamed: 1": "Ref", "Unnamed: 3": "Size", "Unnamed: 4": "Unit"}
 # Row of the header when none is recognised.
@@ -12,13 +14,15 @@ DEFAULT_HEADER_ROW = 23
 # Header fragments of the waste form and the names they stand for.
 FORM_RULES = {
     "reference": "reference",
-    "chemical": "chemical_name",
-    "number of containers": "num_containers",
+    "chemical name": "chemical_name",
+    "description of waste": "chemical_name",
+    "no. of containers": "num_containers",
     "container size": "container_size",
     "physical state": "physical_state",
-    "hazard statement": "hazard_statements",
-    "hazard propert": "hazard_properties",
+    "hazard statements": "hazard_statements",
+    "hazard properties": "hazard_properties",
 }
+HP_VOCABULARY = [f"HP{i}" for i in range(1, 16)]
 
 
 def ensure_columns(df: DataFrame, fallback: dict[str, str] | None = None) -> DataFrame:
@@ -65,3 +69,15 @@ def unpivot_pairs(df: DataFrame, pairs: list[tuple[str, str, str, str]], keep: l
     cells = [F.struct(F.lit(g).alias("grp"), F.lit(m).alias("metric"), time(t).alias("ts"), number(v).alias("value")) for g, m, t, v in pairs]
     rows = df.select(*(keep or []), F.explode(F.array(*cells)).alias("_c")).select(*(keep or []), "_c.*")
     return rows.dropna(subset=["ts", "value"])
+
+
+def clean_form(df: DataFrame) -> DataFrame:
+    """Waste form rows with a numeric reference: code lists parsed, one 0/1 column per hazard property."""
+    df = df.where(to_num(F.col("reference"), None).isNotNull()).withColumn("reference", F.trim("reference"))
+    if "hazard_statements" in df.columns:
+        df = df.withColumn("hazard_statements", parse_codes(F.col("hazard_statements")))
+    properties = normalize_codes(parse_codes(F.col("hazard_properties"))) if "hazard_properties" in df.columns else F.array().cast("array<string>")
+    df = df.withColumn("hazard_properties", properties)
+    if "num_containers" in df.columns:
+        df = df.withColumn("num_containers", to_num(F.col("num_containers")).cast("int"))
+    return df.select("*", *one_hot(F.col("hazard_properties"), HP_VOCABULARY))
