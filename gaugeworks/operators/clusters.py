@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .asof import asof_join
 from .lineage import cut
 from .sequences import extrema, rolling_change, savgol
-from .series import SECOND, Series
+from .series import SECOND, Series, choose_width, fits_one_task, spread_by_key
 from .stats import noise_threshold
 
 MIN_POINTS = 3
@@ -54,7 +54,9 @@ def _scaled(points: DataFrame, noise: DataFrame, keys: list[str], size: str, pre
     apart = PRESENCE_WEIGHT / F.col("_pstd") / F.col("_r")
     scale = stats.join(noise, keys).withColumn("_r", radius).withColumn("_w", F.when(apart <= 1, F.greatest(F.sqrt(1 - apart * apart), F.lit(1e-9))))
     u = (F.col(size) - F.col("_mean")) / F.col("_std") / F.col("_r")
-    out = points.join(scale.select(*keys, "_mean", "_std", "_r", "_w"), keys).withColumn("_u", u).withColumn("_line", F.col(presence).cast("int"))
+    scale = scale.select(*keys, "_mean", "_std", "_r", "_w")
+    placed = points.join(scale, keys) if fits_one_task(points) else spread_by_key(points, scale, keys, "inner")
+    out = placed.withColumn("_u", u).withColumn("_line", F.col(presence).cast("int"))
     return out.withColumn("_cell", F.floor("_u")).withColumn("_fine", F.floor(F.col("_u") / F.coalesce(F.col("_w"), F.lit(1.0)))).drop("_mean", "_std", "_r")
 
 
@@ -79,11 +81,11 @@ def density_clusters(points: DataFrame, noise: DataFrame, keys: list[str], idc:
     """
     pts = cut(_scaled(points, noise, keys, size, presence))
     spot = [*keys, "_line", "_cell"]
-    thick = pts.groupBy(*spot).agg(F.count("*").alias("_n"))
-    pts_n = pts.join(thick, spot)
-    thin = pts_n.where(F.col("_n") < MIN_POINTS)
-    lonely = _meet(thin, pts, keys, idc, []).groupBy(*keys, F.col("_me").alias(idc)).agg(F.count("*").alias("_near"))
-    marked = cut(pts_n.join(lonely, [*keys, idc], "left").withColumn("_core", (F.col("_n") >= MIN_POINTS) | (F.coalesce("_near", F.lit(0)) >= MIN_POINTS)).drop("_near"))
+    thin_cells = pts.groupBy(*spot).agg(F.count("*").alias("_n")).where(F.col("_n") < MIN_POINTS).select(*spot, F.lit(True).alias("_thin"))
+    thin = pts.join(thin_cells, spot)
+    lonely = _meet(thin, pts, keys, idc, []).groupBy(*keys, F.col("_me").alias(idc)).agg((F.count("*") < MIN_POINTS).alias("_alone"))
+    border = thin.select(*keys, idc).join(lonely, [*keys, idc]).where("_alone")
+    marked = cut(pts.join(border, [*keys, idc], "left").withColumn("_core", F.col("_alone").isNull()).drop("_alone"))
 
     core = marked.where("_core")
     groups = core.groupBy(*keys, "_line", "_fine", "_w").agg(F.min("_u").alias("_lo"), F.max("_u").alias("_hi"))
@@ -134,7 +136,7 @@ def delta_events(minutes: DataFrame, presence: DataFrame, keys: list[str], ts: s
     """Significant power changes with presence, cluster and letter, from minute energy and presence."""
     power = minutes.withColumn("power_kw", F.col(kwh) * 60)
     here = asof_join(power, presence, keys, ts, ts, [flag], tie, defaults={flag: 0}, tolerance_us=tolerance_us)
-    s = Series.plan(here, keys, ts, (tie,))
+    s = Series.of(here, keys, ts, (tie,), choose_width(minutes, keys, ts))
     smooth, noise = smooth_deltas(s, "power_kw", noise_factor, small=s.width is None)
     noise = cut(noise)
     smooth = smooth.attach(noise.select(*keys, "threshold"))

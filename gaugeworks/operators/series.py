@@ -25,6 +25,7 @@ MINUTE = 60 * SECOND
 HOUR = 60 * MINUTE
 DAY = 24 * HOUR
 DEFAULT_ROWS_PER_CHUNK = 1_000_000
+BROADCAST_ROWS = 200_000
 ROWS_PER_CHUNK_CONF = "gaugeworks.series.rowsPerChunk"
 COARSE_WIDTHS = (30 * DAY, 7 * DAY, DAY, 6 * HOUR, HOUR)
 FINE_WIDTHS = (600 * SECOND, 60 * SECOND, 10 * SECOND, SECOND)
@@ -64,9 +65,18 @@ def rows_per_chunk(spark) -> int:
 
 
 def fits_one_task(df: DataFrame) -> bool:
-    """Whether all rows together are no more than one chunk may hold; reads at most that many."""
-    limit = rows_per_chunk(df.sparkSession)
-    return df.select(F.lit(1)).limit(limit + 1).count() <= limit
+    """Whether all rows together are no more than one chunk may hold; counts without reading the values."""
+    return df.count() <= rows_per_chunk(df.sparkSession)
+
+
+def spread_by_key(df: DataFrame, per_key: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join rows with a table of one row per key.
+
+    The table is written first, so its true size decides: up to ``BROADCAST_ROWS`` rows it is broadcast and
+    the rows stay where they are, beyond that it is a shuffled join whose busy keys are split at run time.
+    """
+    side = cut(per_key)
+    return df.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, keys, how)
 
 
 def choose_width(df: DataFrame, keys: list[str], ts: str) -> int | None:
@@ -129,10 +139,17 @@ class Series:
         return self.frame.drop(CHUNK)
 
     def attach(self, per_key: DataFrame) -> Series:
-        """Left join a table with one row per key, spreading it over the key's chunks first."""
-        side = per_key
-        if self.width is not None:
-            side = self.frame.select(*self.parts).distinct().join(per_key, list(self.keys))
+        """Left join a table with one row per key.
+
+        Chunked, a table too long to broadcast goes to the key's chunks first, so no key meets in one task.
+        """
+        keys = list(self.keys)
+        if self.width is None:
+            return self.with_frame(self.frame.join(per_key, keys, "left"))
+        side = cut(per_key)
+        if side.count() <= BROADCAST_ROWS:
+            return self.with_frame(self.frame.join(F.broadcast(side), keys, "left"))
+        side = self.frame.select(*self.parts).distinct().join(side, keys)
         return self.with_frame(self.frame.join(side, self.parts, "left"))
 
     def scan(

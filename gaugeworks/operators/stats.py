@@ -9,13 +9,7 @@ from ..functions.scalars import hour_between, period, power_kw, prev_working_day
 from .asof import window_join
 from .quantiles import exact_median, exact_quantiles
 from .sequences import mask_events, substantial, with_gaps
-from .series import SECOND, Series, micros
-
-
-def with_constants(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate as scalar subqueries, without a join."""
-    packed = one_row.select(F.struct(*one_row.columns)).scalar()
-    return df.withColumn("_k", packed).select(*df.columns, *[F.col("_k")[c].alias(c) for c in one_row.columns])
+from .series import SECOND, Series, fits_one_task, micros, spread_by_key
 
 
 def weekly_dense(df: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
@@ -245,8 +239,9 @@ def burst_median(df: DataFrame, keys: list[str], value: str, small: bool | None
 def noise_threshold(df: DataFrame, keys: list[str], value: str, factor: float = 2.0, small: bool | None = None) -> DataFrame:
     """Robust noise level: 1.4826 * MAD, the sample deviation when that is zero; threshold = factor * level."""
     v = F.col(value)
+    small = fits_one_task(df) if small is None else small
     centre = exact_median(df, keys, v, "_mid", small)
-    spread = df.join(centre, keys)
+    spread = df.join(centre, keys) if small else spread_by_key(df, centre, keys, "inner")
     mad = exact_median(spread, keys, F.abs(v - F.col("_mid")), "mad", small)
     dev = df.groupBy(*keys).agg(F.stddev_samp(v).alias("_sd"))
     sigma = F.when(F.col("mad") > 0, F.col("mad") * 1.4826).otherwise(F.col("_sd"))
@@ -284,10 +279,12 @@ def drop_empty_columns(wide: DataFrame, columns: list[str]) -> DataFrame:
 
 def baseline_shift(df: DataFrame, group: str, ts: str, value: str, shifted: str, reference: str, name: str, opening_us: int = 300 * SECOND) -> DataFrame:
     """Move one group's values so that its opening mean meets the reference group's."""
-    start = df.groupBy(group).agg(F.min(ts).alias("_t0"))
-    opening = df.join(start, group).where(micros(F.col(ts)) < micros(F.col("_t0")) + opening_us)
-    mean = lambda g: F.avg(F.when(F.col(group) == g, F.col(value)))
-    offset = opening.agg(mean(shifted) - mean(reference)).scalar()
+    at, pair = F.col(ts), df.where(F.col(group).isin(shifted, reference))
+    of = lambda g, c: F.when(F.col(group) == g, c)
+    start = pair.agg(F.struct(F.min(of(shifted, at)).alias("s"), F.min(of(reference, at)).alias("r"))).scalar()
+    opened = micros(F.when(F.col(group) == shifted, start["s"]).otherwise(start["r"]))
+    mean = lambda g: F.avg(of(g, F.col(value)))
+    offset = pair.where(micros(at) < opened + opening_us).agg(mean(shifted) - mean(reference)).scalar()
     return df.withColumn(name, F.when(F.col(group) == shifted, F.col(value) - offset).otherwise(F.col(value)))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bad_use, good_use, sash_percent, validate
-from .series import Series
+from .series import Series, choose_width
 
 
 def calibrate(df: DataFrame, calibration: DataFrame, keys: list[str], distance: str, name: str = "sash_pct") -> DataFrame:
@@ -47,7 +47,8 @@ def usage_state(distances: DataFrame, lights: DataFrame, keys: list[str], ts: st
     x = lights.select(*keys, ts, F.struct(F.col(tie).alias("tie"), F.col(light_col).alias("v")).alias("_l"))
     both = d.unionByName(x, allowMissingColumns=True)
     points = both.groupBy(*keys, ts).agg(F.max("_d").alias("_d"), F.max("_l").alias("_l"))
-    s = Series.plan(points, keys, ts).running(lasts={"_d": F.col("_d"), "_l": F.col("_l")}).attach(hoods)
+    width = choose_width(both, keys, ts)
+    s = Series.of(points, keys, ts, (), width).running(lasts={"_d": F.col("_d"), "_l": F.col("_l")}).attach(hoods)
     pct = sash_percent(F.col("_d.v"), F.col("closed_mm"), F.col("open_mm"))
     df = (
         s.frame.withColumn("sash_open", F.coalesce(pct > open_pct, F.lit(False)))

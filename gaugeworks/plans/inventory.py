@@ -136,11 +136,11 @@ def container_lookup(t):
     return stock.lookup(containers(t), "cas", wanted).select(*ITEM, "cas", "location")
 
 
-@query("composition", """WITH s AS (SELECT l_orderkey, sum(l_quantity) FILTER (l_returnflag = 'A') AS a, sum(l_quantity) FILTER (l_returnflag = 'N') AS n, sum(l_quantity) FILTER (l_returnflag = 'R') AS r FROM lineitem WHERE l_quantity > 40 GROUP BY 1),
+@query("composition", """WITH s AS (SELECT l_orderkey, sum(l_quantity) FILTER (l_returnflag = 'A') AS a, sum(l_quantity) FILTER (l_returnflag = 'N') AS n, sum(l_quantity) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1),
     c AS (SELECT l_orderkey, coalesce(a, 0) AS a, coalesce(n, 0) AS n, coalesce(r, 0) AS r FROM s)
     SELECT l_orderkey, round(a / (a + n + r) * 100, 4) AS a_pct, round(n / (a + n + r) * 100, 4) AS n_pct, round(r / (a + n + r) * 100, 4) AS r_pct FROM c""")
 def composition(t):
     part = lambda f: F.coalesce(F.sum(F.when(F.col("l_returnflag") == f, F.col("l_quantity"))), F.lit(0.0)).alias(f)
-    sums = t.lineitem.where("l_quantity > 40").groupBy("l_orderkey").agg(part("A"), part("N"), part("R"))
+    sums = t.lineitem.groupBy("l_orderkey").agg(part("A"), part("N"), part("R"))
     pct = S.composition(F.col("A"), F.col("N"), F.col("R"))
     return sums.select("l_orderkey", *[F.round(p, 4).alias(f"{n}_pct") for p, n in zip(pct, "anr")])
