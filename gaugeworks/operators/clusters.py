@@ -32,7 +32,7 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str], node: str) -
     """
     labels = cut(nodes.select(*keys, F.col(node).alias("_n"), F.col(node).alias("_l")))
     edges = cut(edges.select(*keys, "a", "b"))
-    while True:
+    while not edges.isEmpty():
         around = (
             edges.join(labels.withColumnRenamed("_n", "b"), [*keys, "b"])
             .groupBy(*keys, F.col("a").alias("_n"))
@@ -43,7 +43,8 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str], node: str) -
         step = cut(least.join(jump, [*keys, "_m"], "left").select(*keys, "_n", F.least("_m", "_j").alias("_l"), (F.least("_m", "_j") < F.col("_l")).alias("_moved")))
         labels = step.drop("_moved")
         if step.where("_moved").isEmpty():
-            return labels.select(*keys, F.col("_n").alias(node), F.col("_l").alias("component"))
+            break
+    return labels.select(*keys, F.col("_n").alias(node), F.col("_l").alias("component"))
 
 
 def _scaled(points: DataFrame, noise: DataFrame, keys: list[str], size: str, presence: str) -> DataFrame:

@@ -17,17 +17,18 @@ def _reading_gaps(s: Series, extra_prev: dict | None = None, extra_next: dict |
     return s.with_frame(s.frame.withColumn("_us", micros(F.col(s.ts))))
 
 
-def typical_gap(s: Series) -> DataFrame:
+def typical_gap(gaps: Series) -> DataFrame:
     """Exact median gap (microseconds) between consecutive rows of each key; absent for single rows."""
-    lag = s.neighbours({"_prev_us": micros(F.col(s.ts))})
-    gap = micros(F.col(s.ts)) - F.col("_prev_us")
-    return exact_median(lag.frame, list(s.keys), gap, "_typical", small=s.width is None)
+    return exact_median(gaps.frame, list(gaps.keys), F.col("_us") - F.col("_prev_us"), "_typical", small=gaps.width is None)
 
 
 def with_gaps(s: Series, floor_us: int = 30 * MINUTE, factor: float = 3.0, prev: dict | None = None, next: dict | None = None) -> Series:
-    """Add ``_prev_us``, ``_next_us``, ``_us``, ``_typical`` and the break threshold ``_limit`` of the key."""
-    gaps = _reading_gaps(s, prev, next)
-    gaps = gaps.attach(typical_gap(s))
+    """Add ``_prev_us``, ``_next_us``, ``_us``, ``_typical`` and the break threshold ``_limit`` of the key.
+
+    The neighbour times serve the median and all later steps, so a chunked series writes them once.
+    """
+    gaps = _reading_gaps(s, prev, next).settle()
+    gaps = gaps.attach(typical_gap(gaps))
     limit = F.greatest(F.lit(float(floor_us)), F.col("_typical") * factor)
     return gaps.with_frame(gaps.frame.withColumn("_limit", limit))
 
@@ -40,9 +41,6 @@ def breaks_after() -> Column:
     return F.col("_next_us").isNull() | (F.col("_next_us") - F.col("_us") > F.col("_limit"))
 
 
-WORK = ("_prev_us", "_next_us", "_us", "_typical", "_limit", "_new")
-
-
 def segments(s: Series, name: str = "segment", floor_us: int = 30 * MINUTE, factor: float = 3.0) -> Series:
     """Number the stretches of a key between gaps longer than max(floor, factor * median gap), from 1."""
     g = with_gaps(s, floor_us, factor)
