@@ -128,7 +128,8 @@ def rank_labels(df: DataFrame, keys: list[str], cluster: str, size: str, presenc
 def smooth_deltas(s: Series, kw: str, noise_factor: float = 2.0, small: bool | None = None) -> tuple[Series, DataFrame]:
     """Five-minute power change, its smoothing, and the noise threshold per key."""
     raw = rolling_change(s, F.col(kw), "delta")
-    smooth = savgol(raw, "delta", "smoothed").settle()
+    smooth = savgol(raw, "delta", "smoothed")
+    smooth = smooth.with_frame(cut(smooth.frame))
     residual = smooth.frame.withColumn("_res", F.col("delta") - F.col("smoothed"))
     return smooth, noise_threshold(residual, list(s.keys), "_res", noise_factor, small)
 

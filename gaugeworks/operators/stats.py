@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hour_between, period, power_kw, prev_working_day
 from .asof import window_join
+from .lineage import cut
 from .quantiles import exact_median, exact_quantiles
 from .sequences import mask_events, substantial, with_gaps
 from .series import SECOND, Series, fits_one_task, micros, spread_by_key
@@ -181,7 +182,8 @@ def weighted_pct(s: Series, is_open: str, is_light: str, open_size: int = 10, ni
     cap = F.greatest(F.lit(1800.0 * SECOND), typical * 3)
     gap = F.coalesce((F.col("_next_us") - F.col("_us")).cast("double"), typical)
     df = base.frame.select(*s.frame.columns, F.greatest(F.lit(0.0), F.least(gap, cap)).alias("_w"), night_col.alias("_night"), cap.alias("_cap"))
-    rows = s.with_frame(df)
+    rows = s.with_frame(cut(df))  # four uses follow
+    df = rows.frame
 
     def events(mask: Column, size: int, strict: bool, name: str) -> DataFrame:
         act, summary = mask_events(rows, mask, F.col("_cap"))
