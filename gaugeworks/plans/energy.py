@@ -148,13 +148,13 @@ def window_join(t):
 @query("compare_periods", """WITH p AS (SELECT site, esum, CASE WHEN d BETWEEN DATE '1998-01-01' AND DATE '1998-03-31' THEN 'b' WHEN d BETWEEN DATE '1998-05-02' AND DATE '1998-07-30' THEN 'a' END AS p FROM energy_daily),
     s AS (SELECT site, count(*) FILTER (p = 'b') AS before_days, sum(esum) FILTER (p = 'b') AS bt, avg(esum) FILTER (p = 'b') AS bm, median(esum) FILTER (p = 'b') AS bmed, min(esum) FILTER (p = 'b') AS before_min, max(esum) FILTER (p = 'b') AS before_max,
       count(*) FILTER (p = 'a') AS after_days, sum(esum) FILTER (p = 'a') AS atot, avg(esum) FILTER (p = 'a') AS am, median(esum) FILTER (p = 'a') AS amed, min(esum) FILTER (p = 'a') AS after_min, max(esum) FILTER (p = 'a') AS after_max FROM p WHERE p IS NOT NULL GROUP BY site)
-    SELECT site, before_days, before_min, before_max, after_days, after_min, after_max, round(bt, 2) AS before_total, round(bm, 2) AS before_mean, round(bmed, 4) AS before_median,
-    round(atot, 2) AS after_total, round(am, 2) AS after_mean, round(amed, 4) AS after_median, round(atot - bt, 2) AS total_diff, round((atot - bt) / bt * 100, 2) AS total_pct,
-    round(am - bm, 2) AS mean_diff, round((am - bm) / bm * 100, 2) AS mean_pct FROM s""")
+    SELECT site, before_days, before_min, before_max, after_days, after_min, after_max, round(bt, 2) AS before_total, round(bm, 6) AS before_mean, round(bmed, 6) AS before_median,
+    round(atot, 2) AS after_total, round(am, 6) AS after_mean, round(amed, 6) AS after_median, round(atot - bt, 2) AS total_diff, round((atot - bt) / bt * 100, 2) AS total_pct,
+    round(am - bm, 6) AS mean_diff, round((am - bm) / bm * 100, 2) AS mean_pct FROM s""")
 def compare_periods(t):
     out = stats.compare_periods(t.energy_daily, SITE, "d", "esum", "1998-04-01", "1998-05-01")
-    sides = [f"{p}_{n}" for p in ("before", "after") for n in ("total", "mean")]
-    return rounded(rounded(out, "before_median", "after_median"), *sides, "total_diff", "total_pct", "mean_diff", "mean_pct", n=2)
+    fine = ["before_mean", "before_median", "after_mean", "after_median", "mean_diff"]
+    return rounded(rounded(out, *fine, n=6), "before_total", "after_total", "total_diff", "total_pct", "mean_pct", n=2)
 
 
 @query("daily_table", """SELECT site, strftime(d, '%Y-%m-%d') AS date_text, year(d) AS year, strftime(d, '%b') AS month, round(esum, 2) AS esum, d FROM energy_daily
