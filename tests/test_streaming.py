@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,7 +29,9 @@ class Source:
         folder.mkdir()
 
     def add(self, rows):
-        (self.folder / f"{self.n:03d}.json").write_text("\n".join(json.dumps(r) for r in rows))
+        path = self.folder / f"{self.n:03d}.json"
+        path.write_text("\n".join(json.dumps(r) for r in rows))
+        os.utime(path, (1_700_000_000 + self.n,) * 2)  # the file source reads in order of modification time
         self.n += 1
 
     def stream(self):
@@ -72,6 +75,7 @@ def test_idempotent_ingest(spark, source, tmp_path):
 
 def test_tumbling_drops_late_rows(spark, source, tmp_path):
     source.add([row(1, 0, 2.0), row(2, 1, 3.0), row(3, 30, 1.0)])
+    source.add([row(7, 31, 1.0)])  # rows count as late against the watermark one batch before
     source.add([row(4, 2, 100.0), row(5, 60, 1.0)])  # minute 2 is later than the watermark
     source.add([row(6, 90, 1.0)])
     out = drain(windows.tumbling(source.stream(), ["sensor"], "ts", "v", "5 minutes", "10 minutes"), "tumbling", tmp_path)
