@@ -53,3 +53,16 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), count_tokens(F.col("text"), tokenizer_path("byte_bpe_50k.json")).alias("n_tokens"))
         .withColumn("over_limit", F.col("n_tokens") > 512)
     )
+
+
+@query("op1_best_fit_packing")
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Packed pieces of documents."""
+    from .packing import pack, pieces
+
+    cut_up = docs.select("doc_id", F.explode(pieces(F.col("text"), tokenizer_path("word_bpe_49k.json"))).alias("p")).select("doc_id", "p.*")
+    return pack(cut_up, order=("doc_id", "piece"))
