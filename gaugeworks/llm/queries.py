@@ -66,3 +66,36 @@ def packed(docs: DataFrame) -> DataFrame:
 
     cut_up = docs.select("doc_id", F.explode(pieces(F.col("text"), tokenizer_path("word_bpe_49k.json"))).alias("p")).select("doc_id", "p.*")
     return pack(cut_up, order=("doc_id", "piece"))
+
+
+LINES_SQL = """
+WITH lines AS (
+    SELECT doc_id, unnest(s) AS line, unnest(range(len(s))) AS pos
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)
+), keyed AS (
+    SELECT doc_id, line, pos,
+        translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM lines
+), shared AS (
+    SELECT key, max(doc_id) AS keep FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), judged AS (
+    SELECT k.doc_id, k.line, k.pos, s.keep IS NOT NULL AND s.keep <> k.doc_id AS dropped FROM keyed k LEFT JOIN shared s ON k.key = s.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+@query("op3_line_dedup", LINES_SQL)
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lines
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    judged = lines.with_keep(docs, lines.keep_bitmaps(docs))
+    return judged.select(
+        "doc_id",
+        F.size(lines.lines_of(F.col("text"))).cast("long").alias("n_lines"),
+        lines.n_dropped(F.col("keep")).alias("n_dropped"),
+        F.sha2(lines.kept_text(F.col("text"), F.col("keep")).cast("binary"), 256).alias("kept_sha256"),
+    )
