@@ -99,3 +99,25 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines.n_dropped(F.col("keep")).alias("n_dropped"),
         F.sha2(lines.kept_text(F.col("text"), F.col("keep")).cast("binary"), 256).alias("kept_sha256"),
     )
+
+
+TOPK_SQL = """
+WITH v AS (
+    SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0
+), scored AS (
+    SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), ranked AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op8_exact_topk", TOPK_SQL)
+def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import quantise, search
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", quantise(F.col("embedding")).alias("vector"))
+    return search(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
