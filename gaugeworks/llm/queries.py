@@ -121,3 +121,22 @@ def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", quantise(F.col("embedding")).alias("vector"))
     return search(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
+def learnt_from(doc_id: str = "doc_id"):
+    """Documents that language identification may learn from; null for a null id."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 != 1
+
+
+def with_language(spark: SparkSession, docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    from .langid import fit, predict
+
+    model = fit(labelled.where(learnt_from()), "doc_id", "text", "lang")
+    return docs.withColumn("_li", predict(spark, F.col("text"), model))
+
+
+@query("op4_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = with_language(spark, docs.select("doc_id", "text"), docs)
+    return found.select("doc_id", F.coalesce(~learnt_from(), F.lit(False)).alias("held_out"), F.col("_li.lang").alias("lang_pred"), F.col("_li.score").alias("score"))
