@@ -140,3 +140,21 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = with_language(spark, docs.select("doc_id", "text"), docs)
     return found.select("doc_id", F.coalesce(~learnt_from(), F.lit(False)).alias("held_out"), F.col("_li.lang").alias("lang_pred"), F.col("_li.score").alias("score"))
+
+
+@query("op6_spot_signatures")
+def spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spots import as_text, edited, likeness, signatures, with_next
+
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    marked = with_next(docs.withColumn("sig", signatures(F.col("text"))), "doc_id", {"text": "next_text", "sig": "next_sig"})
+    changed = marked.withColumn("edited", edited(F.col("text"), F.col("next_text"))).withColumn("edited_sig", signatures(F.col("edited")))
+    return changed.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        as_text(F.col("sig")).alias("fingerprint"),
+        as_text(F.col("edited_sig")).alias("edited_fingerprint"),
+        likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"),
+        likeness(F.col("sig"), F.coalesce("next_sig", F.array().cast("array<int>"))).alias("near_next"),
+    )
