@@ -158,3 +158,22 @@ def spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"),
         likeness(F.col("sig"), F.coalesce("next_sig", F.array().cast("array<int>"))).alias("near_next"),
     )
+
+
+@query("op10_ngram_scores")
+def ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_lm import score, train
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    model = train(docs.where(~held_out))
+    found = docs.withColumn("s", score(F.col("text"), model))
+    return found.select(
+        "doc_id",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        "s.n_tokens",
+        "s.n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "s.base_score",
+        "s.score",
+    )
