@@ -177,3 +177,10 @@ def ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "s.base_score",
         "s.score",
     )
+
+
+@query("op9_ngram_jaccard")
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_groups
+
+    return near_groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
