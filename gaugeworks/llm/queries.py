@@ -184,3 +184,12 @@ def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import near_groups
 
     return near_groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+@query("op2_substring_dedup")
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import kept, repeated_spans, with_spans
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    judged = with_spans(docs, repeated_spans(docs)).withColumn("k", kept(F.col("text"), F.col("spans")))
+    return judged.select("doc_id", "k.n_words", "k.n_removed", F.sha2(F.col("k.kept").cast("binary"), 256).alias("kept_sha256"))
