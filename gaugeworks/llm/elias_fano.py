@@ -91,11 +91,15 @@ class EliasFano:
         return np.where(inside & (lo < end) & (self._low(safe) == low), lo, -1)
 
 
-def write(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
-    """Write arrays as one file of a shared folder; a second attempt replaces the first."""
+def _open(folder: str):
     from pyarrow import fs
 
-    system, root = fs.FileSystem.from_uri(folder)
+    return fs.FileSystem.from_uri(folder if "://" in folder else folder.removeprefix("file:"))
+
+
+def write(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    """Write arrays as one file of a shared folder; a second attempt replaces the first."""
+    system, root = _open(folder)
     system.create_dir(root)
     head = json.dumps({k: [a.dtype.str, len(a)] for k, a in arrays.items()}).encode()
     head += b" " * (-(len(head) + 8) % 64)
@@ -113,7 +117,7 @@ def read(folder: str, name: str) -> dict[str, np.ndarray]:
     """Arrays of a file: mapped where the folder is a file system of the machine, else read."""
     from pyarrow import fs
 
-    system, root = fs.FileSystem.from_uri(folder)
+    system, root = _open(folder)
     if isinstance(system, fs.LocalFileSystem):
         raw = np.memmap(f"{root}/{name}", np.uint8, "r")
     else:

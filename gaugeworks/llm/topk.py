@@ -65,6 +65,7 @@ class Block:
             else:
                 cuts.append(np.searchsorted(self.values[d], high[d] - part, side="right"))
         ends = np.array(cuts)
+        ends[:, LEVELS] = 0  # the greatest impacts belong to the top level, also where they equal its bound
         gathered, seen = np.zeros(n), np.zeros(n)
         few = max(8 * k, n // 64)
         for level in range(LEVELS - 1, -1, -1):
