@@ -7,10 +7,12 @@ shingles m - 1.  So two sets that link share an entry.  Frequent shingles fall i
 follows the size class of the smaller set of a pair, and a set is filed for each class its partners may have.  Sets of
 fewer than ``PAIRS_FROM`` shingles file single shingles only.  What counts as frequent changes the work, never the result.
 
-Entries meet in blocks of sorted hashes by shard; entries of two or more sets are kept.  Each set is first verified against
-the candidate hub it shares most entries with; then, for every entry whose sets are still in different components,
-all pairs across components are verified (the largest component of an entry is not paired with itself, so a group of
-copies costs its size, not its square).  Verification compares whole sets of 64-bit shingle hashes.
+Entries meet in blocks of sorted hashes by shard; inside a block the sets of one entry follow its first set, which
+alone goes on to the shard, so a frequent entry costs a shard one row per block.  Entries of two or more sets are kept.
+Each set is first held against its hubs; then, for every entry whose sets are still in different components, all pairs
+across components (the largest component of an entry is not paired with itself, so a group of copies costs its size, not
+its square).  A pair is dropped when its sizes or its counts of shingles by hash remainder rule a link out, else
+the whole sets of 64-bit shingle hashes are compared.
 
 Cases: texts without words, null or empty, have an empty set, link with nothing and are their own component; a text with
 fewer words than a shingle is one shingle; a repeated row is a copy with the same id; rows with a null id have a null
@@ -31,12 +33,15 @@ from ..operators.lineage import cut
 from . import words
 from .graph import components
 from .ngram_lm import _gather, _spread
+from .scratch import release
 
 PAIRS_FROM = 16
 #: A shingle is frequent from so many sets on, as far as the list goes; its length bounds what is sent to the tasks.
 FREQUENT_FROM = 24
 FREQUENT_MOST = 1 << 19
 GROUP_TOKENS = 1 << 21
+#: Remainders that shingles are counted by; two sets share at most the sum of the smaller counts.
+REMAINDERS = 256
 _ODD = words._series(64, 21) | np.uint64(1)
 
 
@@ -109,8 +114,13 @@ def _texts(b: pd.DataFrame) -> list[str | None]:
     return [t if isinstance(t, str) else None for t in b["text"]]
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Counts of shingles by remainder, at most 255 each."""
+    return np.minimum(np.bincount((s % np.uint64(REMAINDERS)).astype(np.int64), minlength=REMAINDERS), 255).astype(np.uint8).tobytes()
+
+
 def described(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """One row per document (doc, n, a, b: size and hash of its set) and shingles that some task met in several sets."""
+    """One row per document (doc, n, a, b: size and hash of its set; its sketch) and shingles that some task met in several sets."""
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[int, np.ndarray] = {}
@@ -119,14 +129,14 @@ def described(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
         def often() -> pd.DataFrame:
             kinds, n = np.unique(np.concatenate([*seen.values(), np.empty(0, np.uint64)]), return_counts=True)
             kinds, n = kinds[n > 1], n[n > 1]
-            return pd.DataFrame({"doc": pd.Series([None] * len(kinds), dtype="Int64"), "n": n, "a": kinds.astype(np.int64), "b": np.zeros(len(kinds), np.int64), "shingle": True})
+            return pd.DataFrame({"doc": pd.Series([None] * len(kinds), dtype="Int64"), "n": n, "a": kinds.astype(np.int64), "b": np.zeros(len(kinds), np.int64), "shingle": True, "sketch": None})
 
         for batch in batches:
             rows = []
             ids = batch["doc"].tolist()
             for i, s in shingle_sets(_texts(batch), size):
                 a, b = set_hash(s) if len(s) else (0, 0)
-                rows.append((ids[i], len(s), a, b, False))
+                rows.append((ids[i], len(s), a, b, False, sketch(s) if len(s) else None))
                 if a not in seen:
                     seen[a] = s
                     held += len(s)
@@ -134,27 +144,31 @@ def described(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
                     yield often()
                     seen.clear()
                     held = 0
-            out = pd.DataFrame(rows, columns=["doc", "n", "a", "b", "shingle"])
+            out = pd.DataFrame(rows, columns=["doc", "n", "a", "b", "shingle", "sketch"])
             yield out.astype({"doc": "Int64", "n": "int64", "a": "int64", "b": "int64", "shingle": "bool"})
         yield often()
 
-    both = cut(docs.mapInPandas(describe, "doc bigint, n bigint, a bigint, b bigint, shingle boolean"))
+    both = cut(docs.mapInPandas(describe, "doc bigint, n bigint, a bigint, b bigint, shingle boolean, sketch binary"))
     return both.where("NOT shingle").drop("shingle"), both.where("shingle").select("a", "n")
 
 
 def filed(docs: DataFrame, frequent, size: int, percent: int, shards: int) -> DataFrame:
-    """Entries of two or more different sets: entry, set, hub (one set of the entry, the same for all its rows)."""
+    """Entries of two or more different sets: entry, set, hub (another set of the entry, or itself for its first set)."""
 
-    def singles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, sets, held, seen = [], [], 0, set()
 
         def block() -> pd.DataFrame:
             k, s = np.concatenate([*keys, np.empty(0, np.uint64)]), np.concatenate([*sets, np.empty(0, np.int64)])
-            shard = (k % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((k, shard))
-            k, s, shard = k[order], s[order], shard[order]
-            cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]) if len(k) else [0]
-            return pd.DataFrame([(int(shard[x]), _spread(k[x:y]), s[x:y].tobytes()) for x, y in zip(cuts, cuts[1:], strict=False)], columns=["shard", "keys", "sets"])
+            order = np.lexsort((s, k))
+            k, s = k[order], s[order]
+            first = np.r_[True, k[1:] != k[:-1]][: len(k)]
+            leader = s[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))] if len(k) else s
+            rows = [(int(shard), _spread(k[m]), s[m].tobytes(), leader[m].tobytes(), None) for shard, m in _dealt(~first, s.astype(np.uint64), shards)]
+            leads = np.zeros(len(k), np.uint8)
+            leads[:-1] = ~first[1:]
+            rows += [(int(shard), _spread(k[m]), s[m].tobytes(), None, leads[m].tobytes()) for shard, m in _dealt(first, k, shards)]
+            return pd.DataFrame(rows, columns=["shard", "keys", "sets", "hubs", "leads"])
 
         for batch in batches:
             for _, s in shingle_sets(_texts(batch), size):
@@ -163,7 +177,7 @@ def filed(docs: DataFrame, frequent, size: int, percent: int, shards: int) -> Da
                     if a in seen:
                         continue
                     seen.add(a)
-                    k = entries(s, frequent.value, percent)[0]
+                    k = np.concatenate(entries(s, frequent.value, percent))
                     keys.append(k)
                     sets.append(np.full(len(k), a, np.int64))
                     held += len(k)
@@ -173,36 +187,65 @@ def filed(docs: DataFrame, frequent, size: int, percent: int, shards: int) -> Da
         yield block()
 
     def meet(b: pd.DataFrame) -> pd.DataFrame:
-        k = np.concatenate([_gather(x) for x in b["keys"]])
-        s = np.concatenate([np.frombuffer(x, np.int64) for x in b["sets"]])
-        order = np.lexsort((s, k))
-        k, s = k[order], s[order]
-        new = np.r_[True, (k[1:] != k[:-1]) | (s[1:] != s[:-1])]
-        k, s = k[new], s[new]
-        starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        sizes = np.diff(np.r_[starts, len(k)])
-        several = np.repeat(sizes > 1, sizes)
-        return pd.DataFrame({"entry": k[several].astype(np.int64), "set": s[several], "hub": np.repeat(s[starts], sizes)[several]})
-
-    def paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            seen = set()
-            for _, s in shingle_sets(_texts(batch), size):
-                if len(s) >= PAIRS_FROM // 2:
-                    a = set_hash(s)[0]
-                    if a not in seen:
-                        seen.add(a)
-                        k = entries(s, frequent.value, percent)[1]
-                        yield pd.DataFrame({"entry": k.astype(np.int64), "set": np.full(len(k), a, np.int64)})
+        follow, lead = b[b["hubs"].notna()], b[b["leads"].notna()]
+        out = []
+        for x, y, z in zip(follow["keys"], follow["sets"], follow["hubs"], strict=True):
+            out.append((_gather(x), np.frombuffer(y, np.int64), np.frombuffer(z, np.int64)))
+        if len(lead):
+            k = np.concatenate([_gather(x) for x in lead["keys"]])
+            s = np.concatenate([np.frombuffer(x, np.int64) for x in lead["sets"]])
+            leads = np.concatenate([np.frombuffer(x, np.uint8) for x in lead["leads"]])
+            order = np.lexsort((s, k))
+            k, s, leads = k[order], s[order], leads[order]
+            starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            sizes = np.diff(np.r_[starts, len(k)])
+            shared = np.repeat((sizes > 1) | (np.add.reduceat(leads, starts, dtype=np.int64) > 0), sizes)
+            out.append((k[shared], s[shared], np.repeat(s[starts], sizes)[shared]))
+        k, s, h = (np.concatenate([o[i] for o in out]) for i in range(3))
+        return pd.DataFrame({"entry": k.astype(np.int64), "set": s, "hub": h})
+
+    return docs.mapInPandas(blocks, "shard int, keys binary, sets binary, hubs binary, leads binary").groupBy("shard").applyInPandas(meet, "entry bigint, set bigint, hub bigint")
+
+
+def _dealt(mask: np.ndarray, by: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Chosen rows, in order, by remainder."""
+    rows = np.flatnonzero(mask)
+    shard = (by[rows] % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    rows, shard = rows[order], shard[order]
+    cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]) if len(rows) else [0]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield int(shard[a]), rows[a:b]
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of sets whose sizes and sketches do not rule a link out."""
+
+    @F.pandas_udf("boolean")
+    def enough(x: pd.Series, y: pd.Series, nx: pd.Series, ny: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=bool)
+        p, q = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), REMAINDERS).astype(np.int64) for s in (x, y))
+        both = np.where((p == 255) & (q == 255), 1 << 40, np.where(p == 255, q, np.where(q == 255, p, np.minimum(p, q)))).sum(axis=1)
+        both = np.minimum(both, np.minimum(nx.to_numpy(), ny.to_numpy()))
+        return pd.Series(100 * both >= percent * (nx.to_numpy() + ny.to_numpy() - both))
 
-    alone = docs.mapInPandas(singles, "shard int, keys binary, sets binary").groupBy("shard").applyInPandas(meet, "entry bigint, set bigint, hub bigint")
-    pairs = cut(docs.mapInPandas(paired, "entry bigint, set bigint"))
-    shared = pairs.groupBy("entry").agg(F.min("set").alias("hub"), F.max("set").alias("last")).where("hub <> last").drop("last")
-    return cut(alone.unionByName(pairs.join(shared, "entry").distinct().select("entry", "set", "hub")))
+    left = classes.select(F.col("a").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("kx"))
+    right = classes.select(F.col("a").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("ky"))
+    found = pairs.join(left, "x").join(right, "y").where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
+    return cut(found.where(enough("kx", "ky", "nx", "ny")).select("x", "y"))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of sets that link."""
+def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs that link: whole sets compared."""
+    needed = pairs.select(F.col("x").alias("a")).unionAll(pairs.select(F.col("y").alias("a"))).distinct()
+    needed = needed.join(classes, "a").select("a", F.col("rep").alias("doc"))
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            wanted = batch["a"].tolist()
+            out = [(wanted[i], s.tobytes()) for i, s in shingle_sets(_texts(batch), size) if len(s) and set_hash(s)[0] == wanted[i]]
+            yield pd.DataFrame(out, columns=["a", "shingles"])
 
     @F.pandas_udf("boolean")
     def links(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -213,9 +256,12 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out.append(100 * both >= percent * (len(p) + len(q) - both))
         return pd.Series(out, dtype=bool)
 
-    left = sets.select(F.col("set").alias("x"), F.col("shingles").alias("sx"))
-    right = sets.select(F.col("set").alias("y"), F.col("shingles").alias("sy"))
-    return cut(pairs.join(left, "x").join(right, "y").where(links("sx", "sy")).select("x", "y"))
+    sets = cut(docs.join(needed, "doc").mapInPandas(hashed, "a bigint, shingles binary"))
+    release(docs.sparkSession)
+    left, right = sets.withColumnsRenamed({"a": "x", "shingles": "sx"}), sets.withColumnsRenamed({"a": "y", "shingles": "sy"})
+    found = cut(pairs.join(left, "x").join(right, "y").where(links("sx", "sy")).select("x", "y").distinct())
+    release(docs.sparkSession)
+    return found
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -228,31 +274,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", siz
 
     real = docs.where(F.col("doc").isNotNull())
     shingles = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    entry = filed(real, frequent, size, percent, max(8, shingles // (4 * GROUP_TOKENS)))
-    classes = cut(rows.where("n > 0 AND doc IS NOT NULL").groupBy("a").agg(F.min("doc").alias("rep"), F.min("n").alias("n")))
-    sizes = classes.select(F.col("a").alias("set"), "rep", "n")
-
-    involved = entry.select("set").distinct().join(sizes, "set").select("set", F.col("rep").alias("doc"))
-
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            wanted = batch["set"].tolist()
-            out = [(wanted[i], s.tobytes()) for i, s in shingle_sets(_texts(batch), size) if len(s) and set_hash(s)[0] == wanted[i]]
-            yield pd.DataFrame(out, columns=["set", "shingles"])
-
-    sets = cut(real.join(involved, "doc").mapInPandas(hashed, "set bigint, shingles binary").dropDuplicates(["set"]))
-
-    def fitting(pairs: DataFrame) -> DataFrame:
-        """Drop pairs whose sizes already rule a link out."""
-        small, large = F.least("nx", "ny"), F.greatest("nx", "ny")
-        n = sizes.select("set", "n")
-        pairs = pairs.join(n.withColumnsRenamed({"set": "x", "n": "nx"}), "x").join(n.withColumnsRenamed({"set": "y", "n": "ny"}), "y")
-        return pairs.where(small * 100 >= large * percent).select("x", "y")
+    entry = cut(filed(real, frequent, size, percent, max(8, shingles // (4 * GROUP_TOKENS))))
+    classes = cut(rows.where("n > 0 AND doc IS NOT NULL").groupBy("a").agg(F.min("doc").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch")))
+    release(spark)
 
-    # First each set against the hub it shares most entries with.
-    counted = entry.where("set <> hub").groupBy("set", "hub").agg(F.count("*").alias("c"))
-    best = counted.groupBy("set").agg(F.max_by("hub", F.struct("c", "hub")).alias("hub"))
-    links = _verify(fitting(best.select(F.col("set").alias("x"), F.col("hub").alias("y"))), sets, percent)
+    # First each set against its hubs.
+    hubs = entry.where("set <> hub").select(F.least("set", "hub").alias("x"), F.greatest("set", "hub").alias("y")).distinct()
+    links = _links(_possible(hubs, classes, percent), real, classes, size, percent)
     labels = components(links, "x", "y")
 
     # Then what still lies in different components of one entry.
@@ -260,16 +288,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", siz
     parts = named.groupBy("entry", "label").agg(F.count("*").alias("c"))
     main = parts.groupBy("entry").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
     open_rows = cut(named.join(main, "entry"))
+    release(spark)
     minor = open_rows.where("label <> main").select("entry", F.col("set").alias("x"), F.col("label").alias("lx"))
     other = open_rows.select("entry", F.col("set").alias("y"), F.col("label").alias("ly"), "main")
     # Two sets outside the main component meet once.
     across = minor.join(other, "entry").where((F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))))
-    tested = best.select(F.least("set", "hub").alias("x"), F.greatest("set", "hub").alias("y"))
-    across = across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().join(tested, ["x", "y"], "left_anti")
-    links = links.unionByName(_verify(fitting(across), sets, percent))
+    across = across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().join(hubs, ["x", "y"], "left_anti")
+    links = links.unionByName(_links(_possible(across, classes, percent), real, classes, size, percent))
 
-    reps = sizes.select("set", "rep")
-    edges = links.join(reps.withColumnsRenamed({"set": "x", "rep": "rx"}), "x").join(reps.withColumnsRenamed({"set": "y", "rep": "ry"}), "y")
+    reps = classes.select("a", "rep")
+    edges = links.join(reps.withColumnsRenamed({"a": "x", "rep": "rx"}), "x").join(reps.withColumnsRenamed({"a": "y", "rep": "ry"}), "y")
     found = components(edges, "rx", "ry")
     degrees = links.select(F.col("x").alias("a")).unionAll(links.select(F.col("y").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
     classes = classes.join(found, classes["rep"] == found["node"], "left").select("a", F.coalesce("component", "rep").alias("component"))
