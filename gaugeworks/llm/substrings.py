@@ -163,8 +163,13 @@ def segments(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
     return docs.join(lists, "doc").mapInPandas(read, "doc bigint, t bigint, at int, anchor bigint, words binary")
 
 
+def _key() -> list[Column]:
+    """128-bit hash that stands for the words of a segment."""
+    return [F.xxhash64("words").alias("ka"), F.xxhash64(F.lit(7), "words").alias("kb")]
+
+
 def first_docs(rows: pd.DataFrame, length: int) -> pd.DataFrame:
-    """Smallest document of each window of each segment, by an FM-index over the segments (columns words, low)."""
+    """Smallest document of each window of each segment, by an FM-index over the segments (columns words, ka, kb, low)."""
     parts = [w.split(b" ") for w in rows["words"]]
     sizes = np.array([len(p) for p in parts])
     kinds, ids = np.unique(np.array([w for p in parts for w in p], dtype=object), return_inverse=True)
@@ -186,21 +191,22 @@ def first_docs(rows: pd.DataFrame, length: int) -> pd.DataFrame:
         edges = np.stack([ranges >> 32, ranges & 0xFFFFFFFF], axis=1).ravel()
         least[a : a + SEARCH] = np.minimum.reduceat(by_suffix, edges)[::2][at]
     ends = np.cumsum(n_windows)
-    return pd.DataFrame({"words": rows["words"].to_numpy(), "firsts": [least[e - n : e] for e, n in zip(ends, n_windows, strict=True)]})
+    return pd.DataFrame({"ka": rows["ka"].to_numpy(), "kb": rows["kb"].to_numpy(), "firsts": [least[e - n : e] for e, n in zip(ends, n_windows, strict=True)]})
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 13) -> DataFrame:
     """Spans of words that windows of smaller documents cover: _ss_doc, _ss_t (hash of the text), spans (array of from, to)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("t")).where("doc IS NOT NULL AND text IS NOT NULL")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    found = cut(segments(docs, shared_anchors(docs.select("doc", "text"), length, max(8, size // (16 << 20))), length))
+    found = segments(docs, shared_anchors(docs.select("doc", "text"), length, max(8, size // (16 << 20))), length)
+    found = cut(found.select("*", *_key()))
     release(docs.sparkSession)
 
     distinct = cut(found.groupBy("anchor", "words").agg(F.min("doc").alias("low"), F.max("doc").alias("high")))
-    counts = distinct.groupBy("anchor").agg(F.count("*").alias("n"))
-    hot = counts.where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot"))
-    total = distinct.count()
-    shards = max(8, total // SHARD_SEGMENTS)
+    release(docs.sparkSession)
+    hot = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot"))
+    hot = cut(hot)
+    shards = max(8, distinct.count() // SHARD_SEGMENTS)
     marked = distinct.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
 
     parts = F.split(F.col("words").cast("string"), " ", -1)
@@ -215,15 +221,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         useful = [bool((f < h).any()) for f, h in zip(out["firsts"], b["high"], strict=True)]
         return out[useful]
 
-    firsts = cut(whole.unionByName(split).groupBy("shard").applyInPandas(search, "words binary, firsts array<bigint>"))
+    keyed = whole.unionByName(split).select("*", *_key())
+    firsts = cut(keyed.groupBy("shard").applyInPandas(search, "ka bigint, kb bigint, firsts array<bigint>"))
     release(docs.sparkSession)
 
     # Segments of hot anchors look their windows up one by one.
-    placed = found.select("doc", "t", "at", "anchor", "words").join(hot, "anchor", "left")
-    plain = placed.where("hot IS NULL").select("doc", "t", "at", "words")
-    windows = placed.where("hot").withColumn("p", parts).select("doc", "t", "at", F.posexplode(single).alias("i", "words")).select("doc", "t", (F.col("at") + F.col("i")).alias("at"), "words")
-    joined = plain.unionByName(windows).join(firsts, "words").select("doc", "t", F.posexplode("firsts").alias("i", "first"), "at").where(F.col("first") < F.col("doc"))
-    starts = joined.groupBy("doc", "t").agg(F.array_sort(F.collect_set(F.col("at") + F.col("i"))).alias("starts"))
+    placed = found.join(hot, "anchor", "left")
+    plain = placed.where("hot IS NULL").select("doc", "t", "at", "ka", "kb")
+    windows = placed.where("hot").withColumn("p", parts).select("doc", "t", "at", F.posexplode(single).alias("i", "words")).select("doc", "t", (F.col("at") + F.col("i")).alias("at"), *_key())
+    joined = plain.unionByName(windows).join(firsts, ["ka", "kb"]).select("doc", "t", F.posexplode("firsts").alias("i", "first"), "at").where(F.col("first") < F.col("doc"))
+    starts = cut(joined.groupBy("doc", "t").agg(F.array_sort(F.collect_set(F.col("at") + F.col("i"))).alias("starts")))
+    release(docs.sparkSession)
 
     @F.pandas_udf("array<struct<from:int,to:int>>")
     def spans(s: pd.Series) -> pd.Series:
