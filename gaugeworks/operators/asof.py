@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .series import Series, micros
+from .series import Series, from_micros, micros
 
 _SIDE = "_side"
 
@@ -27,7 +27,8 @@ def asof_join(
 
     Both sides go into one union and one running "latest right row", so there is a single shuffle and no
     pair is ever formed.  Equal right times: the greatest ``right_tie`` wins.  A matched null stays null;
-    ``defaults`` fill only rows without a match.  ``tolerance_us`` is inclusive.
+    ``defaults`` fill only rows without a match.  ``tolerance_us`` is inclusive.  Every left row comes back: one
+    without a key or time matches nothing.
     """
     right_tie = right_tie or tie
     hit = F.struct(F.col(right_ts).alias("_at"), *[F.col(v).alias(v) for v in values])
@@ -60,28 +61,39 @@ def asof_join(
     cols = [F.when(ok, F.col("_hit")[v]).otherwise(F.lit(defaults.get(v))).alias(v) for v in values]
     if match_ts:
         cols.append(F.when(ok, F.col("_hit._at")).alias(match_ts))
-    return found.select("_left.*", *cols)
+    lacking = F.col(left_ts).isNull()
+    for k in keys:
+        lacking = lacking | F.col(k).isNull()
+    missed = [F.lit(defaults.get(v)).cast(right.schema[v].dataType).alias(v) for v in values]
+    if match_ts:
+        missed.append(F.lit(None).cast(right.schema[right_ts].dataType).alias(match_ts))
+    return found.select("_left.*", *cols).unionAll(left.where(lacking).select(*left.columns, *missed))
 
 
 def nearest_join(targets: DataFrame, df: DataFrame, target_ts: str, ts: str, tie: str, values: list[str], tolerance_us: int, keys: list[str] | None = None) -> DataFrame:
     """Nearest row within the tolerance of each target, earliest on equal distance; nulls if none.
 
-    Rows and targets meet on time buckets as wide as the tolerance (a target visits three), and the
-    winner is a partial aggregate, so no row is compared with a target far away.
+    Linear work: rows and distinct target times go into one union, one running pass finds the latest row at or before a
+    target, a second one the earliest at or after it, and the nearer of the two wins.  No pair is formed.  Of rows with one
+    time the least ``tie`` counts.
     """
     keys = keys or []
-    bucket = F.floor(micros(F.col(target_ts)) / tolerance_us)
-    ids = targets.select(*keys, target_ts).distinct()
-    spread = ids.withColumn("_b", F.explode(F.sequence(bucket - 1, bucket + 1)))
-    rows = df.select(*keys, F.floor(micros(F.col(ts)) / tolerance_us).alias("_b"), F.col(ts).alias("_ts"), F.col(tie).alias("_tie"), F.struct(F.col(ts).alias("match_ts"), *values).alias("_row"))
-    distance = F.abs(micros(F.col("_ts")) - micros(F.col(target_ts)))
-    best = (
-        rows.join(spread, [*keys, "_b"])
-        .where(distance <= tolerance_us)
-        .groupBy(*keys, target_ts)
-        .agg(F.min_by("_row", F.struct(distance, "_ts", "_tie")).alias("_row"))
-    )
-    return targets.join(best, [*keys, target_ts], "left").select(*targets.columns, F.col("_row.match_ts").alias("match_ts"), *[F.col("_row")[v].alias(v) for v in values])
+    row = F.struct(F.col(ts).alias("match_ts"), *values)
+    rows = df.groupBy(*keys, ts).agg(F.min_by(row, F.col(tie)).alias("_row")).withColumnRenamed(ts, "_ts").withColumn(_SIDE, F.lit(0))
+    ids = targets.select(*keys, F.col(target_ts).alias("_ts")).distinct().withColumn(_SIDE, F.lit(1))
+    both = rows.unionByName(ids, allowMissingColumns=True).withColumn("_back", -micros(F.col("_ts")))
+    if not keys:
+        both = both.withColumn("_all", F.lit(0))
+    names = keys or ["_all"]
+    line = Series.plan(both, names, "_ts", (_SIDE,)).running(lasts={"_before": F.col("_row")})
+    # The same pass over mirrored time gives the row after.
+    mirrored = line.frame.drop("_chunk").withColumn("_at", from_micros(F.col("_back")))
+    turned = Series.of(mirrored, names, "_at", (_SIDE,), line.width).running(lasts={"_after": F.col("_row")})
+    near = lambda c: F.abs(micros(F.col(c)["match_ts"]) - micros(F.col("_ts")))
+    fits = lambda c: near(c) <= tolerance_us
+    best = F.when(fits("_before") & ~F.coalesce(fits("_after") & (near("_after") < near("_before")), F.lit(False)), F.col("_before")).when(fits("_after"), F.col("_after"))
+    found = turned.frame.where(F.col(_SIDE) == 1).select(*keys, F.col("_ts").alias(target_ts), best.alias("_row"))
+    return targets.join(found, [*keys, target_ts], "left").select(*targets.columns, F.col("_row.match_ts").alias("match_ts"), *[F.col("_row")[v].alias(v) for v in values])
 
 
 def spread_days(df: DataFrame, start: Column, end: Column, day: str) -> DataFrame:
@@ -90,7 +102,7 @@ def spread_days(df: DataFrame, start: Column, end: Column, day: str) -> DataFram
 
 
 def effective_join(fact: DataFrame, dim: DataFrame, fact_date: str, dim_date: str, value: str) -> DataFrame:
-    """Dimension value in force on the fact's date; before the first date the earliest value.
+    """Dimension value in force on the fact's date; before the first date the earliest value, null for a null date.
 
     The dimension is unrolled to one row per day, which turns the range condition into an equi-join that
     may be broadcast by size or shuffled.  Dates outside the dimension are moved to its nearest end.
@@ -99,7 +111,8 @@ def effective_join(fact: DataFrame, dim: DataFrame, fact_date: str, dim_date: st
     per_day = dim.groupBy(F.col(dim_date).alias("_from")).agg(F.max(value).alias(value))
     steps = Series.of(per_day.withColumn("_all", F.lit(0)), ["_all"], "_from").neighbours(next={"_to": F.col("_from")}).frame
     days = spread_days(steps, F.col("_from"), F.coalesce(F.date_sub("_to", 1), F.col("_from")), "_day").select("_day", value)
-    return fact.withColumn("_day", F.greatest(first, F.least(last, F.col(fact_date)))).join(days, "_day", "left").drop("_day")
+    day = F.when(F.col(fact_date).isNotNull(), F.greatest(first, F.least(last, F.col(fact_date))))
+    return fact.withColumn("_day", day).join(days, "_day", "left").drop("_day")
 
 
 def check_positive(df: DataFrame, value: str) -> DataFrame:

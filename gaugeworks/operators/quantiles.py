@@ -1,8 +1,11 @@
 """Exact quantiles per key without holding a key's values in one buffer.
 
 Two counting passes: values fall into order-preserving buckets of about 0.2 % relative width, per-key
-bucket counts say which buckets hold the wanted ranks, and only those buckets are counted value by value.
+bucket counts say which buckets hold the wanted ranks, and only rows of those buckets are counted value by value.
 Both passes are plain counts, so they combine before the shuffle and split a busy key over many tasks.
+
+The same at every size: nulls are ignored, NaN is greater than every number, infinities lie at the ends, a null key
+is a key of its own, and the result is a double.
 """
 
 from __future__ import annotations
@@ -10,15 +13,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import fits_one_task
+from .series import fits_one_task, spread_by_key
 
 _STEPS = 512
 _SHIFT = 1_000_000
 
 
 def _bucket(v: Column) -> Column:
-    size = F.floor(F.log(F.abs(v)) * _STEPS) + _SHIFT
-    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0).cast("long"))
+    """Number that follows the order of values; NaN and the infinities have buckets of their own."""
+    finite = F.when((F.abs(v) < float("inf")) & (v != 0), v)
+    size = F.floor(F.log(F.abs(finite)) * _STEPS) + _SHIFT
+    ends = F.when(F.isnan(v), 4 * _SHIFT).when(v == float("inf"), 3 * _SHIFT).when(v == float("-inf"), -3 * _SHIFT)
+    return F.coalesce(ends.cast("long"), F.when(v > 0, size).when(v < 0, -size), F.lit(0).cast("long"))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: Column, quantiles: dict[str, float], small: bool | None = None) -> DataFrame:
@@ -52,10 +58,11 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column, quantiles: di
         .where(wanted(F.col("_start"), F.col("_n")))
         .select(*keys, "_b", "_all", "_start")
     )
+    # The wanted buckets, a few per key, meet the rows before any value is counted.
+    wanted_rows = spread_by_key(rows, buckets, [*keys, "_b"], "inner", null_safe=True)
     values = (
-        rows.groupBy(*keys, "_b", "_v")
-        .agg(F.count("*").alias("_n"))
-        .join(buckets, [*keys, "_b"])
+        wanted_rows.groupBy(*keys, "_b", "_v")
+        .agg(F.count("*").alias("_n"), F.first("_all").alias("_all"), F.first("_start").alias("_start"))
         .withColumn("_from", F.col("_start") + F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_v")) - F.col("_n"))
     )
 
@@ -65,7 +72,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: Column, quantiles: di
     out = []
     for n in quantiles:
         part = F.max(ranks[n] - lo[n])
-        out.append((at(lo[n]) * (1 - part) + at(hi[n]) * part).alias(n))
+        low, high = at(lo[n]), at(hi[n])
+        # Equal ends stay as they are: between two infinities nothing is to be interpolated.
+        out.append(F.when(low == high, low).otherwise(low * (1 - part) + high * part).alias(n))
     return values.groupBy(*keys).agg(*out)
 
 

@@ -26,6 +26,7 @@ HOUR = 60 * MINUTE
 DAY = 24 * HOUR
 DEFAULT_ROWS_PER_CHUNK = 1_000_000
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 ROWS_PER_CHUNK_CONF = "gaugeworks.series.rowsPerChunk"
 COARSE_WIDTHS = (30 * DAY, 7 * DAY, DAY, 6 * HOUR, HOUR)
 FINE_WIDTHS = (600 * SECOND, 60 * SECOND, 10 * SECOND, SECOND)
@@ -69,14 +70,30 @@ def fits_one_task(df: DataFrame) -> bool:
     return df.count() <= rows_per_chunk(df.sparkSession)
 
 
-def spread_by_key(df: DataFrame, per_key: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+def null_safe_join(df: DataFrame, side: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key meets a null key; the keys of ``df`` stay."""
+    renamed = side.withColumnsRenamed({k: f"_side_{k}" for k in keys})
+    on = [df[k].eqNullSafe(renamed[f"_side_{k}"]) for k in keys]
+    return df.join(renamed, on, how).drop(*[f"_side_{k}" for k in keys])
+
+
+def is_small(side: DataFrame) -> bool:
+    """Whether a written table may be broadcast: bounded in rows and in bytes of its values."""
+    widths = [F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) for f in side.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    per_row = F.lit(16 * len(side.columns)) + sum(widths, F.lit(0))
+    rows, size = side.agg(F.count("*"), F.coalesce(F.sum(per_row), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
+def spread_by_key(df: DataFrame, per_key: DataFrame, keys: list[str], how: str = "left", null_safe: bool = False) -> DataFrame:
     """Join rows with a table of one row per key.
 
-    The table is written first, so its true size decides: up to ``BROADCAST_ROWS`` rows it is broadcast and
-    the rows stay where they are, beyond that it is a shuffled join whose busy keys are split at run time.
+    The table is written first, so its true size decides: up to ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES`` it is
+    broadcast and the rows stay where they are, beyond that it is a shuffled join whose busy keys are split at run time.
     """
     side = cut(per_key)
-    return df.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, keys, how)
+    side = F.broadcast(side) if is_small(side) else side
+    return null_safe_join(df, side, keys, how) if null_safe else df.join(side, keys, how)
 
 
 def choose_width(df: DataFrame, keys: list[str], ts: str) -> int | None:
@@ -147,7 +164,7 @@ class Series:
         if self.width is None:
             return self.with_frame(self.frame.join(per_key, keys, "left"))
         side = cut(per_key)
-        if side.count() <= BROADCAST_ROWS:
+        if is_small(side):
             return self.with_frame(self.frame.join(F.broadcast(side), keys, "left"))
         side = self.frame.select(*self.parts).distinct().join(side, keys)
         return self.with_frame(self.frame.join(side, self.parts, "left"))
@@ -180,7 +197,9 @@ class Series:
             for n, c in local.items():
                 carried = F.col("_c_" + n)
                 if n in sums:
-                    local[n] = F.when(c.isNull(), carried).otherwise(c + F.coalesce(carried, F.lit(0)))
+                    # The chunk's total takes the type that a plain running total has, whatever the number of chunks.
+                    kind = self.frame.select(F.sum(sums[n])).schema[0].dataType
+                    local[n] = F.when(c.isNull(), carried).otherwise(c + F.coalesce(carried, F.lit(0))).cast(kind)
                 else:
                     local[n] = F.coalesce(c, carried)
         made = [*prev, *next, *sums, *lasts]

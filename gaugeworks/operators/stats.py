@@ -10,7 +10,7 @@ from .asof import window_join
 from .lineage import cut
 from .quantiles import exact_median, exact_quantiles
 from .sequences import mask_events, substantial, with_gaps
-from .series import SECOND, Series, fits_one_task, micros, spread_by_key
+from .series import SECOND, Series, fits_one_task, micros, null_safe_join, spread_by_key
 
 
 def weekly_dense(df: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
@@ -242,7 +242,7 @@ def noise_threshold(df: DataFrame, keys: list[str], value: str, factor: float =
     v = F.col(value)
     small = fits_one_task(df) if small is None else small
     centre = exact_median(df, keys, v, "_mid", small)
-    spread = df.join(centre, keys) if small else spread_by_key(df, centre, keys, "inner")
+    spread = null_safe_join(df, centre, keys) if small else spread_by_key(df, centre, keys, "inner", null_safe=True)
     mad = exact_median(spread, keys, F.abs(v - F.col("_mid")), "mad", small)
     dev = df.groupBy(*keys).agg(F.stddev_samp(v).alias("_sd"))
     sigma = F.when(F.col("mad") > 0, F.col("mad") * 1.4826).otherwise(F.col("_sd"))

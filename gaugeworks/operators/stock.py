@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import to_litres, to_num, unit_factor
@@ -71,6 +71,12 @@ def red_inventory(containers: DataFrame, listed: DataFrame, classes: DataFrame,
     return rows.select("name", code, "category", F.round("litres", 6).alias("litres"))
 
 
+def red_listing(red: DataFrame) -> DataFrame:
+    """Red inventory as it is shown: only what is in stock, per category the largest litres first, then by name."""
+    order = Window.partitionBy("category").orderBy(F.desc("litres"), "name", "cas")
+    return red.where(F.col("litres") > 0).withColumn("place", F.row_number().over(order))
+
+
 def order_volume(orders: DataFrame, listed: DataFrame, code: str = "cas", size: str = "size", unit: str = "unit", count: str = "number", date: str | None = None, since: Column | None = None, how: str = "left") -> DataFrame:
     """Ordered litres per listed substance: size * count * unit, rows with an unknown unit ignored."""
     if date is not None and since is not None:

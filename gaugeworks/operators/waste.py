@@ -74,6 +74,12 @@ def pivot_share(long: DataFrame, flags: list[str], unit: str = "quarter", value:
     return wide.select(name, *[F.when(total == 0, 0.0).otherwise(F.col(f) / total * 100).alias(f) for f in flags])
 
 
+def pivot_volume(long: DataFrame, flags: list[str], unit: str | None = None, value: str = "litres", name: str = "d") -> DataFrame:
+    """Litres per date, or per period of a unit, one column per hazard property, zeros for empty cells."""
+    key = F.col("d").alias(name) if unit is None else period(F.col("d"), unit).alias(name)
+    return long.groupBy(key).pivot("hp", flags).agg(F.sum(value)).fillna(0.0, subset=flags)
+
+
 def top_category(long: DataFrame, value: str = "litres") -> DataFrame:
     """Category with the largest total (first by name on ties) and the number of categories."""
     sums = long.groupBy("hp").agg(F.sum(value).alias("_s"))

@@ -10,30 +10,37 @@ from .registry import query
 
 
 def payloads(t):
-    """Events as sensor messages in their quoted form; error events carry a bare None."""
+    """Events as sensor messages in their quoted form.
+
+    Error events carry a bare None; sign-ups an unreadable id or time, or nothing but a water reading inside the hood's.
+    """
+    odd = F.col("event_id") % 3
+    signup = F.col("event_type") == "signup"
+    lab = F.when(signup & (odd == 0), F.lit("'abc'")).otherwise(F.col("user_id").cast("string"))
     text = F.concat(
-        F.lit("{'labId': "), F.col("user_id"), F.lit(", 'sublabId': "), F.get_json_object("props", "$.k"), F.lit(", 'ipAddress': '10.0.0.1', 'sensorReadings': "),
+        F.lit("{'labId': "), lab, F.lit(", 'sublabId': "), F.get_json_object("props", "$.k"), F.lit(", 'ipAddress': '10.0.0.1', 'sensorReadings': "),
         F.when(F.col("event_type") == "error", "{'water': None}")
         .when(F.col("event_type") == "view", F.concat(F.lit("{'fumehood': {'distance': "), F.col("value"), F.lit(", 'light': 12.5, 'airflow': null}}")))
         .when(F.col("event_type") == "click", F.concat(F.lit("{'water': "), F.col("value"), F.lit("}")))
+        .when(signup, F.concat(F.lit("{'fumehood': {'distance': 1.5, 'water': "), F.col("value"), F.lit("}}")))
         .otherwise("{}"),
-        F.lit(", 'measureTimestamp': '"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("'}"),
+        F.lit(", 'measureTimestamp': '"), F.when(signup & (odd == 1), F.lit("soon")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")), F.lit("'}"),
     )
     return t.events.select("event_id", text.alias("payload"))
 
 
 @query("json_props", """SELECT event_id, CAST(user_id AS INT) AS lab_id, CAST(json_extract(props, '$.k') AS INT) AS sublab_id, value / 1000 AS water, date_trunc('second', ts) AS ts FROM events WHERE event_type = 'click'""")
 def json_props(t):
-    good = messages.decode(payloads(t), "payload").where(F.col("reject").isNull() & F.col("_has_water"))
-    return good.select("event_id", "lab_id", "sublab_id", (F.col("_water").cast("double") / 1000).alias("water"), "ts")
+    return messages.water_rows(messages.decode(payloads(t), "payload"), ("event_id",))
 
 
-@query("message_hoods", """SELECT CAST(user_id AS INT) AS lab_id, CAST(json_extract(props, '$.k') AS INT) AS sublab_id, value AS distance, 12.5 AS light, CAST(NULL AS DOUBLE) AS airflow, date_trunc('second', ts) AS ts FROM events WHERE event_type = 'view'""")
+@query("message_hoods", """SELECT CAST(user_id AS INT) AS lab_id, CAST(json_extract(props, '$.k') AS INT) AS sublab_id, CASE WHEN event_type = 'view' THEN value ELSE 1.5 END AS distance, CASE WHEN event_type = 'view' THEN 12.5 END AS light, CAST(NULL AS DOUBLE) AS airflow, date_trunc('second', ts) AS ts FROM events WHERE event_type = 'view' OR (event_type = 'signup' AND event_id % 3 = 2)""")
 def message_hoods(t):
     return messages.parse_messages(payloads(t), "payload")[1]
 
 
-@query("message_rejects", """SELECT CASE WHEN event_type = 'error' THEN 'invalid json' ELSE 'missing field' END AS reject, count(*) AS messages FROM events WHERE event_type IN ('error', 'signup', 'purchase') GROUP BY 1""")
+@query("message_rejects", """SELECT CASE WHEN event_type = 'error' THEN 'invalid json' WHEN event_type = 'purchase' THEN 'missing field' WHEN event_id % 3 = 0 THEN 'bad id' ELSE 'bad time' END AS reject, count(*) AS messages
+    FROM events WHERE event_type IN ('error', 'purchase') OR (event_type = 'signup' AND event_id % 3 < 2) GROUP BY 1""")
 def message_rejects(t):
     return messages.parse_messages(payloads(t), "payload")[2].groupBy("reject").agg(F.count("*").alias("messages"))
 

@@ -29,25 +29,31 @@ def decode(df: DataFrame, payload: str) -> DataFrame:
     bad = F.col("_m").isNull() | F.col(f"_m.{CORRUPT}").isNotNull()
     empty = F.coalesce(F.col("_m.sensorReadings"), F.lit("")).isin("", "{}", "[]", "0", "false")
     lacking = F.col("_m.labId").isNull() | F.col("_m.sublabId").isNull() | (F.coalesce(F.col("_m.measureTimestamp"), F.lit("")) == "") | empty
-    reject = F.when(bad, "invalid json").when(lacking, "missing field")
+    lab, sublab = F.col("_m.labId").try_cast("int"), F.col("_m.sublabId").try_cast("int")
+    at = F.try_to_timestamp("_m.measureTimestamp").cast("timestamp_ntz")
+    reject = F.when(bad, "invalid json").when(lacking, "missing field").when(lab.isNull() | sublab.isNull(), "bad id").when(at.isNull(), "bad time")
     readings = F.from_json(F.col("_m.sensorReadings"), READINGS)
     return out.select(
         *df.columns,
         F.coalesce("_m.ipAddress", F.lit("unknown")).alias("ip_address"),
-        F.col("_m.labId").try_cast("int").alias("lab_id"),
-        F.col("_m.sublabId").try_cast("int").alias("sublab_id"),
-        F.try_to_timestamp("_m.measureTimestamp").cast("timestamp_ntz").alias("ts"),
+        lab.alias("lab_id"),
+        sublab.alias("sublab_id"),
+        at.alias("ts"),
         readings["water"].alias("_water"),
         readings["fumehood"].alias("_hood"),
-        F.col("_m.sensorReadings").contains('"water"').alias("_has_water"),
+        F.coalesce(F.array_contains(F.json_object_keys("_m.sensorReadings"), "water"), F.lit(False)).alias("_has_water"),
         reject.alias("reject"),
     )
 
 
-def water_rows(decoded: DataFrame) -> DataFrame:
-    """Litres from messages with a water reading in millilitres (0 when not a number)."""
+def _carried(decoded: DataFrame, carry: tuple[str, ...] = ()) -> list[str]:
+    return [c for c in carry if c in decoded.columns]
+
+
+def water_rows(decoded: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Litres from messages with a water reading in millilitres (0 when not a number); ``carry`` names columns to keep."""
     good = decoded.where(F.col("reject").isNull() & F.col("_has_water"))
-    return good.select("lab_id", "sublab_id", (to_num(F.col("_water")) / 1000).alias("water"), "ts")
+    return good.select(*_carried(decoded, carry), "lab_id", "sublab_id", (to_num(F.col("_water")) / 1000).alias("water"), "ts")
 
 
 def hood_rows(decoded: DataFrame) -> DataFrame:
