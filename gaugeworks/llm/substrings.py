@@ -77,7 +77,7 @@ def _texts(b: pd.DataFrame) -> list[str | None]:
 
 
 def shared_anchors(docs: DataFrame, length: int, shards: int) -> DataFrame:
-    """Anchors (packed) of each document that another document holds too; several rows a document."""
+    """Anchors of each document that another document holds too, one row each."""
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, ids, held = [], [], 0
@@ -113,9 +113,9 @@ def shared_anchors(docs: DataFrame, length: int, shards: int) -> DataFrame:
         yield block()
 
     def meet(b: pd.DataFrame) -> pd.DataFrame:
-        done = b[b["anchors"].notna()]
-        out = [done[["doc", "anchors"]].astype({"doc": "int64"})]
-        rows = b[b["keys"].notna()]
+        done, rows = b[b["anchors"].notna()], b[b["keys"].notna()]
+        lists = [np.frombuffer(x, np.uint64) for x in done["anchors"]]
+        held, anchors = [np.repeat(done["doc"].to_numpy(np.int64), [len(x) for x in lists])], lists
         if len(rows):
             k = np.concatenate([_gather(x) for x in rows["keys"]])
             d = np.concatenate([np.frombuffer(x, np.int64) for x in rows["ids"]])
@@ -124,11 +124,12 @@ def shared_anchors(docs: DataFrame, length: int, shards: int) -> DataFrame:
             starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
             sizes = np.diff(np.r_[starts, len(k)])
             shared = np.repeat(d[starts] != d[np.r_[starts[1:], len(k)] - 1], sizes)
-            out.append(pd.DataFrame(list(_by_doc(d[shared], k[shared])), columns=["doc", "anchors"]).astype({"doc": "int64"}))
-        return pd.concat(out)
+            held.append(d[shared])
+            anchors = [*lists, k[shared]]
+        return pd.DataFrame({"doc": np.concatenate(held), "anchor": np.concatenate([*anchors, np.empty(0, np.uint64)]).astype(np.int64)})
 
     found = docs.mapInPandas(blocks, "shard int, keys binary, ids binary, doc bigint, anchors binary")
-    return found.groupBy("shard").applyInPandas(meet, "doc bigint, anchors binary")
+    return found.groupBy("shard").applyInPandas(meet, "doc bigint, anchor bigint")
 
 
 def _by_doc(docs: np.ndarray, anchors: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -141,14 +142,14 @@ def _by_doc(docs: np.ndarray, anchors: np.ndarray) -> Iterator[tuple[int, bytes]
 
 def segments(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
     """Segments of shared anchors: doc, t (hash of the text), at (first word), anchor, words (bytes joined by one space)."""
-    lists = anchors.groupBy("doc").agg(F.collect_list("anchors").alias("lists"))
+    lists = anchors.groupBy("doc").agg(F.collect_list("anchor").alias("wanted"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, out = _texts(batch), []
-            names, marks, lists = batch["doc"].tolist(), batch["t"].tolist(), batch["lists"].tolist()
+            names, marks, lists = batch["doc"].tolist(), batch["t"].tolist(), batch["wanted"].tolist()
             for i, anchor, first, last in anchored(texts, length):
-                wanted = np.concatenate([np.frombuffer(x, np.uint64) for x in lists[i]])
+                wanted = np.asarray(lists[i], np.int64).astype(np.uint64)
                 mine = np.flatnonzero(np.isin(anchor, wanted))
                 if not len(mine):
                     continue
