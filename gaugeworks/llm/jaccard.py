@@ -11,8 +11,9 @@ Entries meet in blocks of sorted hashes by shard; inside a block the sets of one
 alone goes on to the shard, so a frequent entry costs a shard one row per block.  Entries of two or more sets are kept.
 Each set is first held against its hubs; then, for every entry whose sets are still in different components, all pairs
 across components (the largest component of an entry is not paired with itself, so a group of copies costs its size, not
-its square).  A pair is dropped when its sizes or its counts of shingles by hash remainder rule a link out, else
-the whole sets of 64-bit shingle hashes are compared.
+its square).  A pair is dropped when its sizes or its counts of shingles by hash remainder rule a link out: first by few remainders,
+then by about as many as the set has shingles.  For what is left the whole sets of 64-bit shingle hashes are compared.
+Only texts of such sets are dealt out again; a bitmap of fixed size keeps most others from being shuffled.
 
 Cases: texts without words, null or empty, have an empty set, link with nothing and are their own component; a text with
 fewer words than a shingle is one shingle; a repeated row is a copy with the same id; rows with a null id have a null
@@ -42,6 +43,9 @@ FREQUENT_MOST = 1 << 19
 GROUP_TOKENS = 1 << 21
 #: Remainders that shingles are counted by; two sets share at most the sum of the smaller counts.
 REMAINDERS = 256
+#: Bits of the map of wanted ids, and of one of its rows; a fuller map lets more texts pass, the join after it none.
+MAP_BITS = 1 << 25
+ROW_BITS = 1 << 15
 _ODD = words._series(64, 21) | np.uint64(1)
 
 
@@ -119,8 +123,31 @@ def sketch(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s % np.uint64(REMAINDERS)).astype(np.int64), minlength=REMAINDERS), 255).astype(np.uint8).tobytes()
 
 
+def fine_sketch(s: np.ndarray) -> bytes | None:
+    """Counts of shingles by so many remainders (a power of two) as the set has shingles, in half bytes; 15 is 15 or more."""
+    if len(s) < REMAINDERS // 4:
+        return None
+    buckets = 1 << len(s).bit_length()
+    counts = np.minimum(np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 15).astype(np.uint8)
+    return (counts[0::2] | counts[1::2] << 4).tobytes()
+
+
+def most_shared(x: bytes, y: bytes) -> int:
+    """The most shingles two sets can share by their fine sketches; the finer one is folded to the other's remainders."""
+    counts = []
+    for raw in (x, y):
+        halves = np.frombuffer(raw, np.uint8)
+        c = np.empty(2 * len(halves), np.int64)
+        c[0::2], c[1::2] = halves & 15, halves >> 4
+        c[c == 15] = 1 << 40
+        counts.append(c)
+    fewest = min(map(len, counts))
+    p, q = (c.reshape(-1, fewest).sum(axis=0) for c in counts)
+    return int(np.minimum(p, q).sum())
+
+
 def described(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """One row per document (doc, n, a, b: size and hash of its set; its sketch) and shingles that some task met in several sets."""
+    """One row per document (doc, n, a, b: size and hash of its set; its sketches) and shingles that some task met in several sets."""
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[int, np.ndarray] = {}
@@ -129,14 +156,14 @@ def described(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
         def often() -> pd.DataFrame:
             kinds, n = np.unique(np.concatenate([*seen.values(), np.empty(0, np.uint64)]), return_counts=True)
             kinds, n = kinds[n > 1], n[n > 1]
-            return pd.DataFrame({"doc": pd.Series([None] * len(kinds), dtype="Int64"), "n": n, "a": kinds.astype(np.int64), "b": np.zeros(len(kinds), np.int64), "shingle": True, "sketch": None})
+            return pd.DataFrame({"doc": pd.Series([None] * len(kinds), dtype="Int64"), "n": n, "a": kinds.astype(np.int64), "b": np.zeros(len(kinds), np.int64), "shingle": True, "sketch": None, "fine": None})
 
         for batch in batches:
             rows = []
             ids = batch["doc"].tolist()
             for i, s in shingle_sets(_texts(batch), size):
                 a, b = set_hash(s) if len(s) else (0, 0)
-                rows.append((ids[i], len(s), a, b, False, sketch(s) if len(s) else None))
+                rows.append((ids[i], len(s), a, b, False, sketch(s) if len(s) else None, fine_sketch(s)))
                 if a not in seen:
                     seen[a] = s
                     held += len(s)
@@ -144,11 +171,11 @@ def described(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
                     yield often()
                     seen.clear()
                     held = 0
-            out = pd.DataFrame(rows, columns=["doc", "n", "a", "b", "shingle", "sketch"])
+            out = pd.DataFrame(rows, columns=["doc", "n", "a", "b", "shingle", "sketch", "fine"])
             yield out.astype({"doc": "Int64", "n": "int64", "a": "int64", "b": "int64", "shingle": "bool"})
         yield often()
 
-    both = cut(docs.mapInPandas(describe, "doc bigint, n bigint, a bigint, b bigint, shingle boolean, sketch binary"))
+    both = cut(docs.mapInPandas(describe, "doc bigint, n bigint, a bigint, b bigint, shingle boolean, sketch binary, fine binary"))
     return both.where("NOT shingle").drop("shingle"), both.where("shingle").select("a", "n")
 
 
@@ -233,7 +260,33 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     left = classes.select(F.col("a").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("kx"))
     right = classes.select(F.col("a").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("ky"))
     found = pairs.join(left, "x").join(right, "y").where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
-    return cut(found.where(enough("kx", "ky", "nx", "ny")).select("x", "y"))
+    found = cut(found.where(enough("kx", "ky", "nx", "ny")).select("x", "y", (F.col("nx") + F.col("ny")).alias("n")))
+    release(pairs.sparkSession)
+
+    @F.pandas_udf("boolean")
+    def finely(x: pd.Series, y: pd.Series, n: pd.Series) -> pd.Series:
+        out = []
+        for p, q, both in zip(x, y, n.tolist(), strict=True):
+            shared = None if p is None or q is None else most_shared(p, q)
+            out.append(shared is None or 100 * shared >= percent * (both - shared))
+        return pd.Series(out, dtype=bool)
+
+    fine = classes.select("a", "fine").where("fine IS NOT NULL")
+    left, right = fine.withColumnsRenamed({"a": "x", "fine": "fx"}), fine.withColumnsRenamed({"a": "y", "fine": "fy"})
+    kept = cut(found.join(left, "x", "left").join(right, "y", "left").where(finely("fx", "fy", "n")).select("x", "y"))
+    release(pairs.sparkSession)
+    return kept
+
+
+def _of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Documents whose id is wanted.  A bitmap of the ids' hashes, of at most MAP_BITS bits, sifts them before the shuffle."""
+    place = F.pmod(F.xxhash64("doc"), F.lit(MAP_BITS))
+    row, at = F.floor(place / ROW_BITS).alias("_row"), place % ROW_BITS
+    maps = wanted.select(row, at.alias("_at")).groupBy("_row").agg(F.bitmap_construct_agg("_at").alias("_map"))
+    byte = F.conv(F.hex(F.expr("substring(_map, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    sifted = docs.withColumns({"_row": row, "_at": at}).join(F.broadcast(maps), "_row")
+    sifted = sifted.where(F.getbit(byte, F.expr("cast(_at % 8 as int)")) == 1)
+    return sifted.select("doc", "text").join(wanted, "doc")
 
 
 def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -256,7 +309,7 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, per
             out.append(100 * both >= percent * (len(p) + len(q) - both))
         return pd.Series(out, dtype=bool)
 
-    sets = cut(docs.join(needed, "doc").mapInPandas(hashed, "a bigint, shingles binary"))
+    sets = cut(_of(docs, needed).mapInPandas(hashed, "a bigint, shingles binary"))
     release(docs.sparkSession)
     left, right = sets.withColumnsRenamed({"a": "x", "shingles": "sx"}), sets.withColumnsRenamed({"a": "y", "shingles": "sy"})
     found = cut(pairs.join(left, "x").join(right, "y").where(links("sx", "sy")).select("x", "y").distinct())
@@ -275,7 +328,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", siz
     real = docs.where(F.col("doc").isNotNull())
     shingles = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     entry = cut(filed(real, frequent, size, percent, max(8, shingles // (4 * GROUP_TOKENS))))
-    classes = cut(rows.where("n > 0 AND doc IS NOT NULL").groupBy("a").agg(F.min("doc").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch")))
+    classes = cut(rows.where("n > 0 AND doc IS NOT NULL").groupBy("a").agg(F.min("doc").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.first("fine").alias("fine")))
     release(spark)
 
     # First each set against its hubs.

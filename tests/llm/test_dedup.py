@@ -1,5 +1,6 @@
 """Line, substring and near-duplicate operators against brute force."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,26 @@ def test_components(spark):
     got = dict(tuple(r) for r in graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect())
     assert all(got[i] == 1 for i in range(2, 31)) and all(got[i] == 100 for i in range(101, 140)) and got[201] == 200
     assert graph.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_fine_sketches_never_hide_a_link():
+    rng = np.random.default_rng(3)
+    for n in (64, 100, 127, 128, 500, 3000):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for kept, more in ((n, 0), (n, n // 3), (n * 3 // 4, 0), (n // 2, n), (0, n)):
+            y = np.unique(np.concatenate([x[:kept], rng.integers(0, 1 << 63, more, dtype=np.uint64)]))
+            p, q = jaccard.fine_sketch(x), jaccard.fine_sketch(y)
+            if q is not None:
+                assert jaccard.most_shared(p, q) >= len(np.intersect1d(x, y))
+    crowd = np.arange(1000, dtype=np.uint64) * np.uint64(1 << 20)  # all in one remainder
+    assert jaccard.most_shared(jaccard.fine_sketch(crowd), jaccard.fine_sketch(crowd[:900])) >= 900
+    assert jaccard.fine_sketch(crowd[:63]) is None
+
+
+def test_wanted_texts_come_whole(spark, monkeypatch):
+    docs = spark.range(5000).selectExpr("id AS doc", "string(id) AS text")
+    wanted = spark.range(0, 7000, 7).selectExpr("id AS doc", "id AS a")
+    for bits in (1 << 25, 1 << 15, 64):
+        monkeypatch.setattr(jaccard, "MAP_BITS", bits)
+        assert sorted(r["doc"] for r in jaccard._of(docs, wanted).collect()) == list(range(0, 5000, 7))
+    assert jaccard._of(docs, wanted.limit(0)).count() == 0
