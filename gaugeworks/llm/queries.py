@@ -193,3 +193,73 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     judged = with_spans(docs, repeated_spans(docs)).withColumn("k", kept(F.col("text"), F.col("spans")))
     return judged.select("doc_id", "k.n_words", "k.n_removed", F.sha2(F.col("k.kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def _merkle_sql(fan: int = 8, levels: int = 7) -> str:
+    """The tree, the proofs and their check level by level: ``levels`` of them below the languages' roots, as many above."""
+
+    def field(x: str) -> str:
+        return f"CASE WHEN {x} IS NULL THEN '-' ELSE concat(strlen(CAST({x} AS VARCHAR)), ':', CAST({x} AS VARCHAR)) END"
+
+    def leaf(text: str) -> str:
+        return f"sha256(concat({', '.join(field(x) for x in ('doc_id', 'source', 'lang', 'n_chars', text))}))"
+
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [
+        f"""crcs AS (
+    SELECT doc_id, xor(4294967295, list_reduce(list_concat([4294967295], [ascii(c) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')]),
+        lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x // 2, (x % 2) * 3988292384)))) AS crc
+    FROM (SELECT DISTINCT doc_id FROM documents)
+)""",
+        f"""leaves AS (
+    SELECT d.doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g,
+        row_number() OVER (PARTITION BY lang ORDER BY d.doc_id NULLS FIRST) - 1 AS pos,
+        {leaf('text').replace('doc_id', 'd.doc_id')} AS leaf,
+        {leaf(f"CASE WHEN crc % 3 = 0 THEN {low} ELSE text END").replace('doc_id', 'd.doc_id')} AS got
+    FROM documents d LEFT JOIN crcs c ON d.doc_id = c.doc_id
+)""",
+        "l0 AS (SELECT g, pos, leaf AS h FROM leaves)",
+    ]
+
+    def level(name: str, below: str) -> str:
+        # A group of one node is finished and stays as it is.
+        return f"""{name} AS MATERIALIZED (
+    SELECT g, pos, h FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {below}) WHERE n = 1
+    UNION ALL
+    SELECT g, pos // {fan} AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h
+    FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {below}) WHERE n > 1 GROUP BY g, pos // {fan}
+)"""
+
+    ctes += [level(f"l{k}", f"l{k - 1}") for k in range(1, levels + 1)]
+    ctes.append(f"u0 AS (SELECT 0 AS g, g AS pos, h FROM l{levels})")
+    ctes += [level(f"u{k}", f"u{k - 1}") for k in range(1, levels + 1)]
+    at = "SELECT doc_id, g, pos, leaf, '' AS proof, got AS folded FROM leaves"
+    for tree in "lu":
+        for k in range(levels):
+            runs = f"(SELECT g AS rg, pos // {fan} AS rp, list(h ORDER BY pos) AS hs, count(*) AS c, any_value(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {tree}{k}) GROUP BY ALL HAVING any_value(n) > 1)"
+            left, right = f"array_to_string(hs[1:p.pos % {fan}], '')", f"array_to_string(hs[p.pos % {fan} + 2:], '')"
+            ctes.append(f"""p{tree}{k} AS MATERIALIZED (
+    SELECT doc_id, g, CASE WHEN hs IS NULL THEN p.pos ELSE p.pos // {fan} END AS pos, leaf,
+        CASE WHEN hs IS NULL THEN proof ELSE concat(proof, {left}, {right}) END AS proof,
+        CASE WHEN hs IS NULL THEN folded ELSE sha256(concat({left}, folded, {right})) END AS folded{', subroot' if tree == 'u' else ''}
+    FROM ({at}) p LEFT JOIN {runs} r ON p.g = r.rg AND p.pos // {fan} = r.rp
+)""")
+            at = f"SELECT * FROM p{tree}{k}"
+        if tree == "l":
+            at = f"SELECT p.doc_id, 0 AS g, p.g AS pos, p.leaf, p.proof, p.folded, s.h AS subroot FROM pl{levels - 1} p JOIN l{levels} s ON s.g = p.g"
+    return (
+        "WITH "
+        + ", ".join(ctes)
+        + f" SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = h AS verified FROM ({at}) CROSS JOIN (SELECT h FROM u{levels})"
+    )
+
+
+@query("op11_merkle_manifest", _merkle_sql())
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import A_Z, leaf, manifest
+
+    text = F.col("text")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    received = F.when(tampered, F.translate(text, A_Z, A_Z.lower())).otherwise(text)
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    return manifest(documents(spark, sf_dir), "doc_id", "lang", leaf(*fields, text), leaf(*fields, received))
