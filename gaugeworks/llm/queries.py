@@ -292,3 +292,10 @@ def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = rows.select("vec_id", label.alias("label"), quantised(F.col("embedding")).alias("vector"))
     return mine(rows, F.col("vec_id") % 50 == 0)
+
+
+@query("op13_minhash_near_dedup")
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chosen_path import near_groups
+
+    return near_groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")

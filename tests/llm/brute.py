@@ -31,9 +31,9 @@ def shingles(text, size=5):
     return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
 
 
-def groups(docs, percent=75):
+def groups(docs, percent=75, size=5):
     """doc_id: (set size, smallest id reachable)."""
-    sets = {k: shingles(t) for k, t in docs}
+    sets = {k: shingles(t, size) for k, t in docs}
     parent = {k: k for k in sets}
 
     def find(x):
