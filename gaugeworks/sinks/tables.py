@@ -1,14 +1,18 @@
-"""Appending, idempotent and export sinks over file tables."""
+"""Appending, idempotent, snapshot and export sinks over file tables."""
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-FLAG = "_new"
+from ..operators.lineage import cut
+
+DAY = "day"
+#: Days of a batch that are named one by one in the partition filter; a batch of more days reads the span between its ends.
+NAMED_DAYS = 400
 
 
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None, enabled: bool = True, fmt: str = "parquet") -> bool:
@@ -29,24 +33,77 @@ def unseen(df: DataFrame, stored: DataFrame, keys: list[str], tie: list[str] | N
     return once.join(stored.select(*keys), keys, "left_anti").select(*df.columns)
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+def open_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored table, or nothing where there is no such folder; any other fault is raised."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def on_days(stored: DataFrame, days: list[date], day: str = DAY) -> DataFrame:
+    """Rows of the given days; a filter on the partition column, so other days' files are not listed or read."""
+    if len(days) <= NAMED_DAYS:
+        return stored.where(F.col(day).isin(days))
+    return stored.where(F.col(day).between(F.lit(days[0]), F.lit(days[-1])))
+
 
+def days_of(df: DataFrame, day: str = DAY) -> list[date]:
+    """The frame's days in order: all of them up to ``NAMED_DAYS``, else some that include the first and the last."""
+    distinct = df.select(day).where(F.col(day).isNotNull()).distinct()
+    named = [r[0] for r in distinct.limit(NAMED_DAYS + 1).collect()]
+    if len(named) > NAMED_DAYS:
+        named += list(df.agg(F.min(day), F.max(day)).first())
+    return sorted(set(named))
 
-def append_new(df: DataFrame, path: str, keys: list[str], tie: list[str] | None = None, partition_by: list[str] | None = None) -> dict[str, int]:
+
+def _check_keys(stored: DataFrame, df: DataFrame, keys: list[str]) -> None:
+    kinds, ours = dict(stored.dtypes), dict(df.dtypes)
+    for k in keys:
+        if kinds.get(k) != ours[k]:
+            raise ValueError(f"stored table has {k} as {kinds.get(k)}, the batch as {ours[k]}")
+
+
+def append_new(df: DataFrame, path: str, keys: list[str], ts: str, tie: list[str] | None = None) -> dict[str, int]:
     """Append only rows with unseen keys; gives the inserted and skipped row counts.
 
-    The counts come from the written files, so a retried task cannot change what was reported.
+    The table lies in one partition per day of ``ts``, which must be one of the keys: a key can only be stored under its own
+    day, so no more than the batch's days are read, whatever the table's size.  The inserted rows are counted while they
+    are written.  A table that is there but cannot be read, or whose keys have other types, is an error, never "no table".
+    Rows without a time are skipped.
+    """
+    if ts not in keys or DAY in df.columns:
+        raise ValueError(f"the time must be one of the keys, and {DAY} is the table's own column")
+    spark = df.sparkSession
+    batch = cut(df.withColumn(DAY, F.col(ts).cast("date")))
+    rows = batch.count()
+    days = days_of(batch)
+    stored = open_table(spark, path)
+    if stored is not None:
+        _check_keys(stored, batch, [*keys, DAY])
+    dated = batch.where(F.col(DAY).isNotNull())
+    known = dated.limit(0) if stored is None else on_days(stored, days)
+    fresh = unseen(dated, known, [*keys, DAY], tie)
+    written = Observation()
+    append(fresh.observe(written, F.count(F.lit(1)).alias("inserted")), path, [DAY])
+    inserted = written.get["inserted"]
+    return {"inserted": inserted, "skipped": rows - inserted}
+
+
+def write_snapshot(df: DataFrame, path: str, category: Column | str, taken: datetime, enabled: bool = True) -> bool:
+    """Add a run's rows to a snapshot table, stamped with the time of the run.
+
+    The table lies in partitions of (category, run date); a run replaces the partitions it has rows for and no others, so
+    writing it once more leaves one copy and earlier runs stay.  ``enabled=False`` leaves the table untouched.
     """
-    stored = _stored(df.sparkSession, path)
-    before = 0 if stored is None else stored.count()
-    fresh = unseen(df, df.limit(0) if stored is None else stored, keys, tie)
-    append(fresh, path, partition_by)
-    inserted = df.sparkSession.read.parquet(path).count() - before
-    return {"inserted": inserted, "skipped": df.count() - inserted}
+    if not enabled:
+        return False
+    name = F.col(category) if isinstance(category, str) else category
+    stamped = df.withColumns({"category": name, "snapshot_ts": F.lit(taken).cast("timestamp_ntz"), "run_date": F.lit(taken.date())})
+    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("category", "run_date").parquet(path)
+    return True
 
 
 def between_days(df: DataFrame, ts: str, start: str, end: str) -> DataFrame:
@@ -74,6 +131,22 @@ def export_day(tables: dict[str, DataFrame], day: str, out: str, ts: str = "Time
     return export_between(tables, day, day, out, ts)
 
 
+def tables_with(spark: SparkSession, column: str, database: str | None = None) -> dict[str, DataFrame]:
+    """Tables and views of a database (the current one, with the session's views) that have the column, by name."""
+    found = {}
+    for t in spark.catalog.listTables(database):
+        full = t.name if t.isTemporary else ".".join(f"`{p}`" for p in [*(t.namespace or []), t.name])
+        df = spark.table(full)
+        if column in df.columns:
+            found[t.name] = df
+    return found
+
+
+def export_database(spark: SparkSession, start: str, end: str, out: str, ts: str = "Timestamp", database: str | None = None) -> list[str]:
+    """Export every table of a database that has the time column; the names of those exported."""
+    return export_between(tables_with(spark, ts, database), start, end, out, ts)
+
+
 def write_clean(df: DataFrame, path: str, fmt: str, run_date: date) -> None:
     """Cleaned rows with the run date: JSON keeps lists as arrays, CSV holds them as JSON text."""
     out = df.withColumn("date", F.lit(run_date))

@@ -19,12 +19,21 @@ def newest_first(df: DataFrame, ts: str) -> DataFrame:
     return df.orderBy(F.desc(ts))
 
 
-def scan_window(df: DataFrame, ts: str, start=None, end=None, keys: dict | None = None) -> DataFrame:
-    """Rows of [start, end) and of the given entities, as plain predicates the scan can push down."""
+def scan_window(df: DataFrame, ts: str, start=None, end=None, keys: dict | None = None, day: str | None = None) -> DataFrame:
+    """Rows of [start, end) and of the given entities, as plain predicates the scan can push down.
+
+    ``day`` names a partition column that holds the date of ``ts``; the range on the time then also bounds the days, so other
+    days' partitions are not listed or read.
+    """
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
     if start is not None:
-        df = df.where(F.col(ts) >= F.lit(start).cast("timestamp_ntz"))
+        df = df.where(F.col(ts) >= at(start))
+        if day:
+            df = df.where(F.col(day) >= at(start).cast("date"))
     if end is not None:
-        df = df.where(F.col(ts) < F.lit(end).cast("timestamp_ntz"))
+        df = df.where(F.col(ts) < at(end))
+        if day:
+            df = df.where(F.col(day) <= (at(end) - F.expr("interval 1 microsecond")).cast("date"))
     for k, v in (keys or {}).items():
         df = df.where(F.col(k).isin(v) if isinstance(v, (list, tuple)) else F.col(k) == v)
     return df

@@ -6,12 +6,11 @@ tables as if it had run once.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sinks.tables import unseen
+from ..sinks.tables import DAY, days_of, on_days, open_table, unseen
 from ..sources.messages import hood_rows, rejects, water_rows, decode
 
 
@@ -34,14 +33,24 @@ def ingest_messages(stream: DataFrame, payload: str, out: str, checkpoint: str)
 
 
 def ingest_new(stream: DataFrame, keys: list[str], ts: str, delay: str, path: str, checkpoint: str, tie: list[str] | None = None) -> StreamingQuery:
-    """Append rows whose keys are not stored yet; repeats inside the watermark never reach the table."""
+    """Append rows whose keys are not stored yet; repeats inside the watermark never reach the table.
+
+    The table ``rows`` under ``path`` lies in partitions of (day of ``ts``, batch), and ``ts`` must be one of the keys.  A batch reads
+    the stored keys of its own days only and replaces its own partitions, so its replay after a failure changes nothing.
+    """
+    if ts not in keys or {DAY, "batch"} & set(stream.columns):
+        raise ValueError(f"the time must be one of the keys, and {DAY} and batch are the table's own columns")
     once = stream.withColumn("_event_time", F.col(ts).cast("timestamp")).withWatermark("_event_time", delay).dropDuplicatesWithinWatermark(keys).drop("_event_time")
+    table = f"{path}/rows"
 
     def write(df: DataFrame, batch: int) -> None:
+        dated = df.withColumn(DAY, F.col(ts).cast("date")).where(F.col(DAY).isNotNull()).persist()
         try:
-            stored = df.sparkSession.read.parquet(f"{path}/rows").where(F.col("batch") < batch)
-        except AnalysisException:
-            stored = df.limit(0)
-        unseen(df, stored, keys, tie).write.mode("overwrite").parquet(_batch_folder(path, "rows", batch))
+            stored = open_table(df.sparkSession, table)
+            known = dated.limit(0) if stored is None else on_days(stored, days_of(dated)).where(F.col("batch") < batch)
+            fresh = unseen(dated, known, [*keys, DAY], tie).withColumn("batch", F.lit(batch))
+            fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY, "batch").parquet(table)
+        finally:
+            dated.unpersist()
 
     return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -281,8 +281,8 @@ def test_sql_functions(spark):
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("s", dt.date(2026, 1, d), float(d)) for d in (1, 2, 2)], "site string, d date, kwh double")
     path = str(tmp_path / "t")
-    assert sinks.append_new(rows, path, ["site", "d"]) == {"inserted": 2, "skipped": 1}
-    assert sinks.append_new(rows, path, ["site", "d"]) == {"inserted": 0, "skipped": 3}
+    assert sinks.append_new(rows, path, ["site", "d"], "d") == {"inserted": 2, "skipped": 1}
+    assert sinks.append_new(rows, path, ["site", "d"], "d") == {"inserted": 0, "skipped": 3}
     assert not sinks.append(rows, path, enabled=False) and spark.read.parquet(path).count() == 2
     assert sinks.append(rows, str(tmp_path / "p"), ["site"])
 
