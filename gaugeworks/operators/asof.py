@@ -87,8 +87,7 @@ def nearest_join(targets: DataFrame, df: DataFrame, target_ts: str, ts: str, tie
     names = keys or ["_all"]
     line = Series.plan(both, names, "_ts", (_SIDE,)).running(lasts={"_before": F.col("_row")})
     # The same pass over mirrored time gives the row after.
-    mirrored = line.frame.drop("_chunk").withColumn("_at", from_micros(F.col("_back")))
-    turned = Series.of(mirrored, names, "_at", (_SIDE,), line.width).running(lasts={"_after": F.col("_row")})
+    turned = line.with_frame(line.frame.withColumn("_at", from_micros(F.col("_back")))).mirrored("_at").running(lasts={"_after": F.col("_row")})
     near = lambda c: F.abs(micros(F.col(c)["match_ts"]) - micros(F.col("_ts")))
     fits = lambda c: near(c) <= tolerance_us
     best = F.when(fits("_before") & ~F.coalesce(fits("_after") & (near("_after") < near("_before")), F.lit(False)), F.col("_before")).when(fits("_after"), F.col("_after"))

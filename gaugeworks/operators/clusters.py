@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .asof import asof_join
 from .lineage import cut
 from .sequences import extrema, rolling_change, savgol
-from .series import SECOND, Series, choose_width, fits_one_task, spread_by_key
+from .series import SECOND, Series, fits_one_task, spread_by_key
 from .stats import noise_threshold
 
 MIN_POINTS = 3
@@ -138,8 +138,8 @@ def delta_events(minutes: DataFrame, presence: DataFrame, keys: list[str], ts: s
     """Significant power changes with presence, cluster and letter, from minute energy and presence."""
     power = minutes.withColumn("power_kw", F.col(kwh) * 60)
     here = asof_join(power, presence, keys, ts, ts, [flag], tie, defaults={flag: 0}, tolerance_us=tolerance_us)
-    s = Series.of(here, keys, ts, (tie,), choose_width(minutes, keys, ts))
-    smooth, noise = smooth_deltas(s, "power_kw", noise_factor, small=s.width is None)
+    s = Series.plan(here, keys, ts, (tie,))
+    smooth, noise = smooth_deltas(s, "power_kw", noise_factor, small=not s.chunked)
     noise = cut(noise)
     smooth = smooth.attach(noise.select(*keys, "threshold"))
     peaks = extrema(smooth, "smoothed", "threshold").rows().select(*keys, ts, tie, F.col("smoothed").alias("value"), F.abs("smoothed").alias("size"), "kind", flag)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def _reading_gaps(s: Series, extra_prev: dict | None = None, extra_next: dict |
 
 def typical_gap(gaps: Series) -> DataFrame:
     """Exact median gap (microseconds) between consecutive rows of each key; absent for single rows."""
-    return exact_median(gaps.frame, list(gaps.keys), F.col("_us") - F.col("_prev_us"), "_typical", small=gaps.width is None)
+    return exact_median(gaps.frame, list(gaps.keys), F.col("_us") - F.col("_prev_us"), "_typical", small=not gaps.chunked)
 
 
 def with_gaps(s: Series, floor_us: int = 30 * MINUTE, factor: float = 3.0, prev: dict | None = None, next: dict | None = None) -> Series:
@@ -68,22 +70,35 @@ def rolling_rows(df: DataFrame, keys: list[str], order: str, value: str, name: s
     return df.withColumn(name, F.avg(value).over(w))
 
 
+def sliding_sum(s: Series, step: Column, name: str, frame_us: int, closed: bool) -> Series:
+    """Sum of ``step`` over rows of (t - frame, t], or of [t - frame, t] if ``closed``, at each row's time t.
+
+    The sum is a difference of two running totals: the one at t and the one at the frame's start.  Rows are added up per
+    time first; each time then asks for the total at its frame's start by a row of its own in the same running pass, so no
+    row is copied into another's frame however many rows a frame holds.
+    """
+    keys = list(s.keys)
+    moments = s.frame.groupBy(*keys, micros(F.col(s.ts)).alias("_t")).agg(F.sum(step).alias("_d"))
+    asked = F.col("_t") - (frame_us + 1 if closed else frame_us)
+    probes = moments.select(*keys, asked.alias("_at"), F.lit(1).alias("_ask"), F.col("_t"), F.lit(None).cast(moments.schema["_d"].dataType).alias("_d"))
+    both = moments.select(*keys, F.col("_t").alias("_at"), F.lit(0).alias("_ask"), "_t", "_d").unionByName(probes)
+    line = Series.plan(both, keys, "_at", ("_ask",)).running(sums={"_sum": F.coalesce(F.col("_d"), F.lit(0))})
+    at = lambda ask: F.max(F.when(F.col("_ask") == ask, F.col("_sum")))
+    sums = line.frame.groupBy(*keys, "_t").agg((at(0) - F.coalesce(at(1), F.lit(0))).alias(name))
+    marked = s.frame.withColumn("_t", micros(F.col(s.ts)))
+    return s.with_frame(marked.join(sums, [*keys, "_t"], "left").drop("_t"))
+
+
 def rolling_change(s: Series, value: Column, name: str, frame_us: int = 5 * MINUTE) -> Series:
     """Sum of row-to-row changes over (t - frame, t]; the first row of a key counts as no change."""
-    lag = s.neighbours({"_before": value})
-    step = F.coalesce(value - F.col("_before"), F.lit(0.0))
-    halo = lag.with_frame(lag.frame.withColumn("_step", step).withColumn("_us", micros(F.col(s.ts)))).time_halo(frame_us)
-    w = Window.partitionBy(*halo.parts).orderBy("_us").rangeBetween(-(frame_us - 1), 0)
-    out = halo.with_frame(halo.frame.withColumn(name, F.sum("_step").over(w))).owned()
-    return out.with_frame(out.frame.drop("_before", "_step", "_us"))
+    lag = s.neighbours({"_before": value}).settle()
+    out = sliding_sum(lag, F.coalesce(value - F.col("_before"), F.lit(0.0)), name, frame_us, closed=False)
+    return out.with_frame(out.frame.drop("_before"))
 
 
 def burst_counts(s: Series, hit: Column, name: str, frame_us: int = 600 * SECOND) -> Series:
     """Hits within [t - frame, t], both ends included."""
-    halo = s.with_frame(s.frame.withColumn("_us", micros(F.col(s.ts)))).time_halo(frame_us)
-    w = Window.partitionBy(*halo.parts).orderBy("_us").rangeBetween(-frame_us, 0)
-    out = halo.with_frame(halo.frame.withColumn(name, F.count(F.when(hit, 1)).over(w))).owned()
-    return out.with_frame(out.frame.drop("_us"))
+    return sliding_sum(s, F.coalesce(hit, F.lit(False)).cast("long"), name, frame_us, closed=True)
 
 
 def light_errors(s: Series, value: str, name: str, min_run: int = 10, high: float = 500.0) -> Series:
@@ -100,7 +115,7 @@ def light_errors(s: Series, value: str, name: str, min_run: int = 10, high: floa
         df = df.withColumn(label, F.col("_pos") - F.coalesce(last_other, F.lit(0)))
     short = F.col("_zero") & (F.col("_left") + F.col("_right") - 1 < min_run)
     error = short | F.coalesce(F.col(value) > high, F.lit(False))
-    out = halo.with_frame(df.withColumn(name, error)).owned()
+    out = halo.with_frame(df.withColumn(name, error)).owned().judged()
     return out.with_frame(out.frame.drop("_zero", "_left", "_right", "_pos"))
 
 
@@ -112,7 +127,7 @@ def distance_errors(s: Series, value: str, name: str, ranges: DataFrame | None =
     halo = s.row_halo(0 if descending else echo, echo if descending else 0)
     frame = halo.window().rowsBetween(0, echo) if descending else halo.window().rowsBetween(-echo, 0)
     echoed = F.max(F.coalesce(F.col(value) < 0, F.lit(False))).over(frame)
-    out = halo.with_frame(halo.frame.withColumn(name, echoed)).owned()
+    out = halo.with_frame(halo.frame.withColumn(name, echoed)).owned().judged()
     if ranges is None:
         return out
     excluded = F.exists("_ranges", lambda r: F.col(value).between(r["low"], r["high"]))
@@ -161,7 +176,7 @@ def mask_events(s: Series, active: Column, limit_us: Column | int, value: str |
     minutes = (micros(F.col("event_end")) - micros(F.col("event_start"))) / F.lit(60e6)
     summary = summary.withColumn("duration_minutes", minutes)
     if value:
-        mid = exact_median(rows.frame, keys, F.col(value), "median_value", small=s.width is None)
+        mid = exact_median(rows.frame, keys, F.col(value), "median_value", small=not s.chunked)
         summary = summary.join(mid, keys, "left")
     return rows, summary
 
@@ -253,7 +268,7 @@ def savgol(s: Series, value: str, name: str) -> Series:
         .withColumn("_around", F.collect_list(F.col(value).cast("double")).over(w.rowsBetween(-8, 8)))
     )
     smoothed = F.when(F.col("_len") < 7, F.col(value)).when(F.col("_len") < 9, smooth(7)).otherwise(smooth(9))
-    out = halo.with_frame(df.withColumn(name, smoothed)).owned()
+    out = halo.with_frame(df.withColumn(name, smoothed)).owned().judged()
     return out.with_frame(out.frame.drop("_pos", "_len", "_around"))
 
 
@@ -264,7 +279,7 @@ def extrema(s: Series, value: str, threshold: Column | str, name: str = "kind")
     limit = F.col(threshold) if isinstance(threshold, str) else threshold
     kind = F.when((v >= p) & (v > q), "max").when((v <= p) & (v < q), "min")
     df = n.frame.withColumn(name, kind).where(F.col(name).isNotNull() & (F.abs(v) >= limit) & (limit > 0))
-    return n.with_frame(df.drop("_before", "_after"))
+    return replace(n, frame=df.drop("_before", "_after"), whole=False)
 
 
 def run_lengths(s: Series, rules: dict[str, tuple[Column, str | None]]) -> Series:

@@ -1,12 +1,15 @@
 """Ordered work over keyed time series that may hold one very busy key.
 
-A plain ``Window.partitionBy(key)`` sends a whole key to one task.  A ``Series`` lays rows out by
-(key, time chunk) instead, so the largest task holds one chunk of the busiest key.  What a chunk needs
-from its neighbours is small (an edge row, a running total, a few border rows) and is computed by a
+A plain ``Window.partitionBy(key)`` sends a whole key to one task.  A ``Series`` lays the rows of busy keys out by
+(key, chunk) instead.  Chunks are stretches of a key's order (time, then tie) of about equal depth, so rows of one
+time can lie in several chunks and a dense stretch has more chunks than a sparse one; a quiet key is one chunk.  What a
+chunk needs from its neighbours is small (an edge row, a running total, a few border rows) and is computed by a
 partial aggregate over chunks, then joined back on (key, chunk), the layout the window already needs.
 
-``Series.plan`` picks the chunk width from row counts.  Data that fits one task per key keeps the plain
-window.  Rows without a key or a time belong to no series and are dropped.
+``Series.plan`` counts the rows of each key once.  Unless a key holds more than ``gaugeworks.series.rowsPerChunk``, the
+plain window stays; else the rows are written once, and the busy keys' rows are dealt by range of (key, time, tie), which
+gives them their chunk numbers.  Rows without a key or a time belong to no series; operators that judge row by row give them
+back with a null result.
 """
 
 from __future__ import annotations
@@ -28,8 +31,6 @@ DEFAULT_ROWS_PER_CHUNK = 1_000_000
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
 ROWS_PER_CHUNK_CONF = "gaugeworks.series.rowsPerChunk"
-COARSE_WIDTHS = (30 * DAY, 7 * DAY, DAY, 6 * HOUR, HOUR)
-FINE_WIDTHS = (600 * SECOND, 60 * SECOND, 10 * SECOND, SECOND)
 
 
 def micros(c: Column) -> Column:
@@ -45,22 +46,6 @@ def seconds_between(a: Column, b: Column) -> Column:
     return (micros(b) - micros(a)) / F.lit(1e6)
 
 
-def _peak(df: DataFrame, keys: list[str], ts: str, widths: tuple[int, ...]) -> dict[int, int]:
-    """Largest row count of any (key, bucket) for each width, in one job with a few result rows."""
-    base = widths[-1]
-    fine = df.groupBy(*keys, F.floor(micros(F.col(ts)) / base).alias("_b")).agg(F.count("*").alias("_n"))
-    ladder = F.array(*[F.lit(w).cast("long") for w in widths])
-    rows = (
-        fine.withColumn("_w", F.explode(ladder))
-        .groupBy(*keys, "_w", F.floor(F.col("_b") * base / F.col("_w")).alias("_b"))
-        .agg(F.sum("_n").alias("_n"))
-        .groupBy("_w")
-        .agg(F.max("_n").alias("_n"))
-        .collect()
-    )
-    return {r["_w"]: r["_n"] for r in rows}
-
-
 def rows_per_chunk(spark) -> int:
     return int(spark.conf.get(ROWS_PER_CHUNK_CONF, str(DEFAULT_ROWS_PER_CHUNK)))
 
@@ -96,44 +81,54 @@ def spread_by_key(df: DataFrame, per_key: DataFrame, keys: list[str], how: str =
     return null_safe_join(df, side, keys, how) if null_safe else df.join(side, keys, how)
 
 
-def choose_width(df: DataFrame, keys: list[str], ts: str) -> int | None:
-    """Widest chunk (in microseconds) whose fullest (key, chunk) stays within the configured rows."""
-    if fits_one_task(df):
-        return None
-    limit = rows_per_chunk(df.sparkSession)
-    for widths in (COARSE_WIDTHS, FINE_WIDTHS):
-        peak = _peak(df, keys, ts, widths)
-        for w in widths:
-            if peak.get(w, 0) <= limit:
-                return w
-    return FINE_WIDTHS[-1]
-
-
 @dataclass(frozen=True)
 class Series:
     frame: DataFrame
     keys: tuple[str, ...]
     ts: str
     tie: tuple[str, ...]
-    width: int | None = None
+    chunked: bool = False
+    #: Rows without a key or a time, and whether ``rows`` gives them back.
+    rest: DataFrame | None = None
+    whole: bool = False
 
     @classmethod
-    def of(cls, df: DataFrame, keys, ts: str, tie=(), width: int | None = None) -> Series:
+    def of(cls, df: DataFrame, keys, ts: str, tie=()) -> Series:
+        """A series with plain windows per key."""
         keys, tie = tuple(keys), tuple(tie)
-        df = df.where(F.col(ts).isNotNull())
+        placed = F.col(ts).isNotNull()
         for k in keys:
-            df = df.where(F.col(k).isNotNull())
-        if width is not None:
-            df = df.withColumn(CHUNK, F.floor(micros(F.col(ts)) / F.lit(width)))
-        return cls(df, keys, ts, tie, width)
+            placed = placed & F.col(k).isNotNull()
+        return cls(df.where(placed), keys, ts, tie, rest=df.where(~placed))
 
     @classmethod
     def plan(cls, df: DataFrame, keys, ts: str, tie=()) -> Series:
-        return cls.of(df, keys, ts, tie, choose_width(df, list(keys), ts))
+        """Plain windows unless a key holds more rows than one task should."""
+        return cls.of(df, keys, ts, tie).split(rows_per_chunk(df.sparkSession))
+
+    def split(self, limit: int) -> Series:
+        """Lay out keys of more than ``limit`` rows in chunks of at most so many (rows equal in time and tie stay together)."""
+        counts = self.frame.groupBy(*self.keys).agg(F.count("*").alias("_n"))
+        if (counts.agg(F.max("_n")).first()[0] or 0) <= limit:
+            return self
+        base = cut(self.frame)
+        busy = cut(base.groupBy(*self.keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit))
+        total = busy.agg(F.sum("_n")).first()[0]
+        names = busy.select(*self.keys, F.lit(True).alias("_busy"))
+        marked = base.join(F.broadcast(names) if is_small(busy) else names, list(self.keys), "left")
+        quiet = marked.where(F.col("_busy").isNull()).drop("_busy").withColumn(CHUNK, F.lit(0))
+        busy_rows, n_chunks, peak = marked.where("_busy").drop("_busy"), 2 * -(-total // limit), None
+        while True:
+            dealt = busy_rows.repartitionByRange(n_chunks, *self.keys, *self.order).withColumn(CHUNK, F.spark_partition_id() + 1)
+            frame = cut(dealt.unionByName(quiet).select(*base.columns, CHUNK))
+            before, peak = peak, frame.where(F.col(CHUNK) > 0).groupBy(*self.keys, CHUNK).count().agg(F.max("count")).first()[0]
+            if peak <= limit or (before is not None and peak >= before):
+                return replace(self, frame=frame, chunked=True)
+            n_chunks *= 2
 
     @property
     def parts(self) -> list[str]:
-        return [*self.keys, CHUNK] if self.width is not None else list(self.keys)
+        return [*self.keys, CHUNK] if self.chunked else list(self.keys)
 
     @property
     def order(self) -> list[str]:
@@ -153,7 +148,17 @@ class Series:
         return replace(self, frame=df)
 
     def rows(self) -> DataFrame:
-        return self.frame.drop(CHUNK)
+        out = self.frame.drop(CHUNK)
+        return out.unionByName(self.rest, allowMissingColumns=True) if self.whole else out
+
+    def judged(self) -> Series:
+        """The rows without a key or a time come back too, without a result."""
+        return replace(self, whole=True)
+
+    def mirrored(self, ts: str) -> Series:
+        """The same layout in falling order of time; ``ts`` is a column that mirrors the time."""
+        frame = self.frame.withColumn(CHUNK, -F.col(CHUNK)) if self.chunked else self.frame
+        return replace(self, frame=frame, ts=ts)
 
     def attach(self, per_key: DataFrame) -> Series:
         """Left join a table with one row per key.
@@ -161,7 +166,7 @@ class Series:
         Chunked, a table too long to broadcast goes to the key's chunks first, so no key meets in one task.
         """
         keys = list(self.keys)
-        if self.width is None:
+        if not self.chunked:
             return self.with_frame(self.frame.join(per_key, keys, "left"))
         side = cut(per_key)
         if is_small(side):
@@ -192,7 +197,7 @@ class Series:
             local["_next"] = F.lead(pack(next)).over(w)
         local |= {n: F.sum(c).over(upto) for n, c in sums.items()}
         local |= {n: F.last(c, ignorenulls=True).over(upto) for n, c in lasts.items()}
-        if self.width is not None:
+        if self.chunked:
             df = df.join(self._carry(prev, next, sums, lasts, pack), self.parts, "left")
             for n, c in local.items():
                 carried = F.col("_c_" + n)
@@ -236,7 +241,7 @@ class Series:
 
     def settle(self) -> Series:
         """Write a chunked frame that several passes will read to the checkpoint folder."""
-        return self if self.width is None else self.with_frame(cut(self.frame))
+        return self if not self.chunked else self.with_frame(cut(self.frame))
 
     def row_halo(self, before: int, after: int) -> Series:
         """Copy up to ``before``/``after`` bordering rows into each chunk; originals have ``_own`` true.
@@ -244,7 +249,7 @@ class Series:
         Afterwards any row frame within the halo is exact under ``window()``.
         """
         own = self.frame.withColumn(OWN, F.lit(True))
-        if self.width is None:
+        if not self.chunked:
             return self.with_frame(own)
         w, desc = self.window(), Window.partitionBy(*self.parts).orderBy(*[F.desc(c) for c in self.order])
         body = [c for c in self.frame.columns if c not in self.parts]
@@ -276,20 +281,5 @@ class Series:
         )
         return self.with_frame(own.unionByName(copies))
 
-    def time_halo(self, before_us: int) -> Series:
-        """Copy rows of the last ``before_us`` microseconds into the chunks that look back on them."""
-        if self.width is None:
-            return self.with_frame(self.frame.withColumn(OWN, F.lit(True)))
-        width = self.width * -(-before_us // self.width) if before_us > self.width else self.width
-        at = micros(F.col(self.ts))
-        home = F.floor(at / F.lit(width))
-        df = (
-            self.frame.withColumn("_home", home)
-            .withColumn(CHUNK, F.explode(F.sequence(home, F.floor((at + before_us) / F.lit(width)))))
-            .withColumn(OWN, F.col(CHUNK) == F.col("_home"))
-            .drop("_home")
-        )
-        return replace(self, frame=df, width=width)
-
     def owned(self) -> Series:
         return self.with_frame(self.frame.where(OWN).drop(OWN))

@@ -26,7 +26,7 @@ RUNS_SQL = f"""w0 AS (SELECT * FROM readings WHERE water >= 0.1), {gaps('w0', 18
 def runs(t):
     s = Series.plan(t.readings.select("event_id", "user_id", "ts", F.col("water").cast(DEC).alias("water")), USER, "ts", ["event_id"])
     out = sequences.runs(s, F.col("water") >= 0.1, "water")
-    return out.withColumn("total", F.col("total").cast("double")).withColumn("band", S.band(F.col("duration_minutes"), EDGES, LABELS)), s.width is None
+    return out.withColumn("total", F.col("total").cast("double")).withColumn("band", S.band(F.col("duration_minutes"), EDGES, LABELS)), not s.chunked
 
 
 @query("water_errors", """SELECT user_id, count(*) FILTER (water < 0 OR abs(water - 6.55) <= 0.01) AS errors, count(*) AS rows FROM readings GROUP BY user_id""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.operators import asof, clusters, sequences
 from gaugeworks.operators.quantiles import exact_quantiles
-from gaugeworks.operators.series import ROWS_PER_CHUNK_CONF, Series, choose_width
+from gaugeworks.operators.series import ROWS_PER_CHUNK_CONF, Series
 from gaugeworks.plans import marts
 from gaugeworks.plans.views import Tables
 
@@ -47,20 +47,52 @@ OPERATORS = {
 @pytest.mark.parametrize("name", OPERATORS)
 def test_chunks_change_nothing(skewed, name):
     plain = rows_of(OPERATORS[name](Series.of(skewed, ["user_id"], "ts", ["event_id"])))
-    for seconds in (7, 900):
-        chunked = Series.of(skewed.repartition(5), ["user_id"], "ts", ["event_id"], seconds * 1_000_000)
-        assert rows_of(OPERATORS[name](chunked)) == plain
+    for limit in (11, 90):
+        chunked = Series.of(skewed.repartition(5), ["user_id"], "ts", ["event_id"]).split(limit)
+        assert chunked.chunked and rows_of(OPERATORS[name](chunked)) == plain
 
 
-def test_width_follows_the_fullest_chunk(spark, skewed):
+def depths(s):
+    return {(r.user_id, r["_chunk"]): r["count"] for r in s.frame.groupBy("user_id", "_chunk").count().collect()}
+
+
+def test_chunks_have_equal_depth(spark, skewed):
     spark.conf.set(ROWS_PER_CHUNK_CONF, "50")
     try:
-        width = choose_width(skewed, ["user_id"], "ts")
-        fullest = Series.of(skewed, ["user_id"], "ts", ["event_id"], width).frame.groupBy("user_id", "_chunk").count().agg(F.max("count")).first()[0]
+        found = depths(Series.plan(skewed, ["user_id"], "ts", ["event_id"]))
     finally:
         spark.conf.unset(ROWS_PER_CHUNK_CONF)
-    assert fullest <= 50
-    assert choose_width(skewed, ["user_id"], "ts") is None
+    assert max(found.values()) <= 50 and {k for k, c in found if c == 0} == set(range(2, 9)) and (1, 0) not in found
+    assert not Series.plan(skewed, ["user_id"], "ts", ["event_id"]).chunked
+
+
+def test_equal_times_are_split_and_quiet_keys_are_not(spark):
+    at = F.timestamp_seconds(F.lit(0)).cast("timestamp_ntz")
+    busy = spark.range(5000).select(F.lit(1).alias("user_id"), F.col("id").alias("event_id"), at.alias("ts"))
+    quiet = spark.range(900).select(F.lit(2).alias("user_id"), F.col("id").alias("event_id"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"))
+    s = Series.of(busy.unionByName(quiet).repartition(7), ["user_id"], "ts", ["event_id"]).split(1000)
+    found = depths(s)
+    assert max(found.values()) <= 1000 and [k for k in found if k[0] == 2] == [(2, 0)]
+    numbered = s.scan(prev={"before": F.col("event_id")}, sums={"n": F.lit(1)}).rows().where("user_id = 1")
+    assert numbered.where("n <> event_id + 1 OR coalesce(before, -1) <> event_id - 1").count() == 0
+    same = Series.of(busy.withColumn("event_id", F.lit(7)), ["user_id"], "ts", ["event_id"]).split(1000)
+    assert max(depths(same).values()) == 5000  # rows without any order stay together
+
+
+def test_rows_without_key_or_time_come_back(spark):
+    rows = [(1, 1, "2026-01-01 00:00:00", 700.0), (None, 2, "2026-01-01 00:00:00", 700.0), (1, 3, None, -1.0)]
+    df = spark.createDataFrame(rows, "user_id long, event_id long, ts string, v double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    s = Series.plan(df, ["user_id"], "ts", ["event_id"])
+    judged = sequences.distance_errors(sequences.light_errors(s, "v", "light_error"), "v", "distance_error").rows()
+    assert sorted((r.event_id, r.light_error, r.distance_error) for r in judged.collect()) == [(1, True, False), (2, None, None), (3, None, None)]
+    assert sequences.savgol(s, "v", "m").rows().count() == 3
+    assert sequences.extrema(sequences.savgol(s, "v", "m"), "m", F.lit(0.1)).rows().count() == 0
+
+
+def test_sliding_sums_have_no_range_frame(skewed):
+    for s in (Series.of(skewed, ["user_id"], "ts", ["event_id"]), Series.of(skewed, ["user_id"], "ts", ["event_id"]).split(50)):
+        plan = plan_of(sequences.burst_counts(s, F.col("on"), "n").rows()) + plan_of(sequences.rolling_change(s, F.col("v"), "d").rows())
+        assert "RangeFrame, -" not in plan and "sequence(" not in plan
 
 
 def test_exact_quantiles(skewed):
@@ -138,7 +170,7 @@ def test_joins_need_no_nested_loops(spark):
 
 
 def test_chunked_windows_have_the_chunk_in_their_key(skewed):
-    s = Series.of(skewed, ["user_id"], "ts", ["event_id"], 60_000_000)
+    s = Series.of(skewed, ["user_id"], "ts", ["event_id"]).split(60)
     plan = plan_of(s.scan(prev={"p": F.col("v")}, sums={"n": F.lit(1)}).rows())
     assert "hashpartitioning(user_id" in plan and "_chunk" in plan
 
