@@ -146,7 +146,7 @@ def compare_periods(df: DataFrame, keys: list[str], day: str, value: str, before
     tagged = df.withColumn("_p", label).where(F.col("_p").isNotNull())
     ids = [*keys, "_p"]
     stats = tagged.groupBy(*ids).agg(F.count("*").alias("days"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"))
-    stats = stats.join(exact_median(tagged, ids, F.col(value), "median", small), ids)
+    stats = null_safe_join(stats, exact_median(tagged, ids, F.col(value), "median", small), ids, "left")
     names = ["days", "total", "mean", "median", "min", "max"]
     side = lambda p, n: F.max(F.when(F.col("_p") == p, F.col(n))).alias(f"{p}_{n}")
     wide = stats.groupBy(*keys).agg(*[side(p, n) for p in ("before", "after") for n in names])
@@ -234,7 +234,7 @@ def burst_median(df: DataFrame, keys: list[str], value: str, small: bool | None
     seen = df.groupBy(*keys).agg(F.count(v).alias("_n"))
     mid = exact_median(df.where(v != 0), keys, v, "_m", small)
     out = F.when(F.col("_n") > 0, F.coalesce(F.col("_m"), F.lit(0.0)))
-    return seen.join(mid, keys, "left").select(*keys, out.alias("burst_value"))
+    return null_safe_join(seen, mid, keys, "left").select(*keys, out.alias("burst_value"))
 
 
 def noise_threshold(df: DataFrame, keys: list[str], value: str, factor: float = 2.0, small: bool | None = None) -> DataFrame:
@@ -246,7 +246,7 @@ def noise_threshold(df: DataFrame, keys: list[str], value: str, factor: float =
     mad = exact_median(spread, keys, F.abs(v - F.col("_mid")), "mad", small)
     dev = df.groupBy(*keys).agg(F.stddev_samp(v).alias("_sd"))
     sigma = F.when(F.col("mad") > 0, F.col("mad") * 1.4826).otherwise(F.col("_sd"))
-    return dev.join(mad, keys).select(*keys, sigma.alias("sigma"), F.when(sigma > 0, sigma * factor).otherwise(0.0).alias("threshold"))
+    return null_safe_join(dev, mad, keys, "left").select(*keys, sigma.alias("sigma"), F.when(sigma > 0, sigma * factor).otherwise(0.0).alias("threshold"))
 
 
 def band_summary(events: DataFrame, band: str, minutes: str, litres: str, small: bool | None = None) -> DataFrame:

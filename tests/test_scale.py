@@ -1,12 +1,13 @@
 """Chunked series against plain windows on skewed data, exact quantiles, clusters, marts and plans."""
 
+import datetime as dt
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import asof, clusters, sequences
-from gaugeworks.operators.quantiles import exact_quantiles
+from gaugeworks.operators import asof, clusters, sequences, stats
+from gaugeworks.operators.quantiles import exact_quantiles, from_ordered_bits, ordered_bits
 from gaugeworks.operators.series import ROWS_PER_CHUNK_CONF, Series
 from gaugeworks.plans import marts
 from gaugeworks.plans.views import Tables
@@ -105,6 +106,54 @@ def test_exact_quantiles(skewed):
         assert [b[k][q] for q in qs] == pytest.approx([a[k][q] for q in qs])
 
 
+ODD = [0.0, -0.0, 1.0, -1.0, 2.0, 0.5, 1.9999999999999998, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, -1.7976931348623157e308, float("inf"), float("-inf"), float("nan"), 3.14, 1e-300, 8.5e15]
+
+
+def test_bits_follow_the_order_of_values(spark):
+    import struct
+
+    rng = random.Random(2)
+    values = ODD + [s * 2.0**e * f for e in range(-1074, 1024, 3) for s in (1, -1) for f in (1.0, 1 + 2**-52, rng.uniform(1, 2))]
+    values += [v for v in (struct.unpack("d", struct.pack("Q", rng.getrandbits(64)))[0] for _ in range(2000)) if v == v]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", ordered_bits(F.col("v")).alias("b"))
+    rows = df.withColumn("back", from_ordered_bits(F.col("b"))).collect()
+    assert all(r.back == r.v or r.v != r.v and r.back != r.back for r in rows)
+    true = lambda v: struct.unpack("q", struct.pack("d", abs(v)))[0] * (-1 if v < 0 else 1)
+    assert all(r.b == true(r.v) for r in rows if r.v == r.v)
+    assert max(rows, key=lambda r: r.b).v != max(rows, key=lambda r: r.b).v  # NaN is last
+
+
+def test_quantiles_of_odd_values_and_null_keys(spark):
+    rows = [(k, v) for k in (1, 2, None) for v in ODD + [None]] + [(3, 7.0), (4, float("nan")), (5, None)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    qs = {"a": 0.0, "b": 0.37, "c": 0.5, "d": 0.99, "e": 1.0}
+    got = [{r.k: tuple(r[q] for q in qs) for r in exact_quantiles(df, ["k"], F.col("v"), qs, small).collect()} for small in (True, False)]
+    assert got[0].keys() == got[1].keys() == {1, 2, None, 3, 4}
+    for k in got[0]:
+        assert [repr(x) for x in got[0][k]] == [repr(x) for x in got[1][k]] or got[1][k] == pytest.approx(got[0][k], nan_ok=True), k
+
+
+def test_a_million_values_with_one_prefix(spark):
+    df = spark.range(1_000_000).select(F.lit(1).alias("k"), (1 + F.col("id") * 2.0**-40).alias("v"))
+    r = exact_quantiles(df, ["k"], F.col("v"), {"m": 0.5, "p": 0.999}, False).first()
+    assert r.m == pytest.approx(1 + 499_999.5 * 2.0**-40, abs=1e-15) and r.p == pytest.approx(1 + 998_999.001 * 2.0**-40, abs=1e-15)
+    # Nothing is ordered but the counts of one prefix.
+    plan = plan_of(exact_quantiles(df, ["k"], F.col("v"), {"m": 0.5}, False))
+    assert "Window" not in plan and "percentile" not in plan
+
+
+def test_null_keys_keep_their_statistics(spark):
+    rows = [(k, dt.date(2026, 1, d), float(v)) for k in (1, None) for d, v in [(1, 3), (2, 5), (3, 0), (20, 7), (21, 9)]]
+    df = spark.createDataFrame(rows, "k int, d date, v double")
+    for small in (True, False):
+        bursts = {r.k: r.burst_value for r in stats.burst_median(df, ["k"], "v", small).collect()}
+        assert bursts == {1: 6.0, None: 6.0}
+        noise = {r.k: r.sigma for r in stats.noise_threshold(df, ["k"], "v", small=small).collect()}
+        assert noise == {1: pytest.approx(2 * 1.4826), None: pytest.approx(2 * 1.4826)}
+        periods = {r.k: (r.before_median, r.after_median) for r in stats.compare_periods(df, ["k"], "d", "v", "2026-01-10", "2026-01-15", small=small).collect()}
+        assert periods == {1: (3.0, 8.0), None: (3.0, 8.0)}
+
+
 def dbscan(points, eps, least=3):
     """Plain clustering of (x, y) points in id order."""
     near = [[j for j, q in enumerate(points) if ((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2) ** 0.5 <= eps] for p in points]
