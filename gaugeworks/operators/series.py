@@ -107,24 +107,23 @@ class Series:
         return cls.of(df, keys, ts, tie).split(rows_per_chunk(df.sparkSession))
 
     def split(self, limit: int) -> Series:
-        """Lay out keys of more than ``limit`` rows in chunks of at most so many (rows equal in time and tie stay together)."""
+        """Lay out keys of more than ``limit`` rows in chunks of at most so many.
+
+        The busy keys' rows are dealt by range and sorted in their partitions, where every 2^k neighbours make a chunk.
+        """
         counts = self.frame.groupBy(*self.keys).agg(F.count("*").alias("_n"))
         if (counts.agg(F.max("_n")).first()[0] or 0) <= limit:
             return self
         base = cut(self.frame)
-        busy = cut(base.groupBy(*self.keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit))
-        total = busy.agg(F.sum("_n")).first()[0]
-        names = busy.select(*self.keys, F.lit(True).alias("_busy"))
-        marked = base.join(F.broadcast(names) if is_small(busy) else names, list(self.keys), "left")
-        quiet = marked.where(F.col("_busy").isNull()).drop("_busy").withColumn(CHUNK, F.lit(0))
-        busy_rows, n_chunks, peak = marked.where("_busy").drop("_busy"), 2 * -(-total // limit), None
-        while True:
-            dealt = busy_rows.repartitionByRange(n_chunks, *self.keys, *self.order).withColumn(CHUNK, F.spark_partition_id() + 1)
-            frame = cut(dealt.unionByName(quiet).select(*base.columns, CHUNK))
-            before, peak = peak, frame.where(F.col(CHUNK) > 0).groupBy(*self.keys, CHUNK).count().agg(F.max("count")).first()[0]
-            if peak <= limit or (before is not None and peak >= before):
-                return replace(self, frame=frame, chunked=True)
-            n_chunks *= 2
+        busy = cut(base.groupBy(*self.keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select(*self.keys, F.lit(True).alias("_busy")))
+        marked = base.join(F.broadcast(busy) if is_small(busy) else busy, list(self.keys), "left")
+        line = [*self.keys, *self.order]
+        dealt = marked.where("_busy").repartitionByRange(*line).sortWithinPartitions(*line)
+        # The id counts a partition's rows in their order, the partition's number above.
+        dealt = dealt.withColumn(CHUNK, F.shiftright(F.monotonically_increasing_id(), limit.bit_length() - 1))
+        quiet = marked.where(F.col("_busy").isNull()).withColumn(CHUNK, F.lit(0).cast("long"))
+        frame = cut(dealt.unionByName(quiet).select(*base.columns, CHUNK))
+        return replace(self, frame=frame, chunked=True)
 
     @property
     def parts(self) -> list[str]:

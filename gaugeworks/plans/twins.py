@@ -9,18 +9,19 @@ from pyspark.sql import functions as F
 
 from ..functions import register
 from ..functions import scalars as S
-from ..operators import asof, stock
+from ..operators import asof, sequences, stats, stock
 from ..operators import waste as waste_ops
-from ..operators.series import ROWS_PER_CHUNK_CONF
+from ..operators.series import ROWS_PER_CHUNK_CONF, Series
 from .inventory import LISTED_SQL, containers
 from .registry import ORACLES, QUERIES, query
 from .views import USER
 from .waste import HPS, LONG_SQL, allocated
 
-CHUNK_ROWS = 1000
+CHUNK_ROWS = 20
 CHUNKED = [
     "asof_join", "asof_tolerance", "nearest_join", "gap_segments", "presence_hours", "flag_intervals", "mask_events", "zero_run_errors",
     "usage_state", "meter_delta", "rolling_time", "savgol", "extrema", "water_runs", "water_percentiles", "noise_mad", "burst_median", "compare_periods",
+    "burst_nulls", "compare_nulls", "noise_nulls", "errors_nulls", "behaviour_pct", "distance_errors", "failure_bursts", "health_alerts", "flag_intervals_pad", "substantial_rows", "presence_week",
 ]
 
 # A third of the left rows lack a key, another third a time.
@@ -36,6 +37,44 @@ def asof_nulls(t):
     return asof.asof_join(left, right, USER, "ts", "ts", ["value"], "event_id", defaults={"value": -1.0}).withColumnRenamed("value", "matched")
 
 
+# A quarter of the keys are null, and stay a key of their own.
+NULL_KEYS = "SELECT CASE WHEN user_id % 4 > 0 THEN user_id END AS user_id, CAST(ts AS DATE) AS d, CASE WHEN event_id % 3 > 0 THEN value ELSE 0.0 END AS v FROM events"
+
+
+def null_keys(t):
+    key = F.when(F.col("user_id") % 4 > 0, F.col("user_id")).alias("user_id")
+    return t.events.select(key, F.col("ts").cast("date").alias("d"), F.when(F.col("event_id") % 3 > 0, F.col("value")).otherwise(0.0).alias("v"))
+
+
+@query("burst_nulls", f"""SELECT user_id, round(CASE WHEN count(v) > 0 THEN coalesce(median(v) FILTER (v <> 0), 0.0) END, 6) AS burst_value FROM ({NULL_KEYS}) GROUP BY user_id""")
+def burst_nulls(t):
+    return stats.burst_median(null_keys(t), USER, "v").select("user_id", F.round("burst_value", 6).alias("burst_value"))
+
+
+@query("compare_nulls", f"""WITH n AS ({NULL_KEYS}) SELECT user_id, round(median(v) FILTER (d BETWEEN DATE '2024-01-05' AND DATE '2024-01-14'), 6) AS before_median,
+    round(median(v) FILTER (d BETWEEN DATE '2024-01-16' AND DATE '2024-01-25'), 6) AS after_median FROM n
+    WHERE d BETWEEN DATE '2024-01-05' AND DATE '2024-01-14' OR d BETWEEN DATE '2024-01-16' AND DATE '2024-01-25' GROUP BY user_id""")
+def compare_nulls(t):
+    out = stats.compare_periods(null_keys(t), USER, "d", "v", "2024-01-15", "2024-01-15", days=10)
+    return out.select("user_id", *[F.round(c, 6).alias(c) for c in ("before_median", "after_median")])
+
+
+@query("noise_nulls", f"""WITH n AS ({NULL_KEYS}), m AS (SELECT user_id, median(v) AS mid FROM n GROUP BY user_id),
+    a AS (SELECT n.user_id, median(abs(v - mid)) AS mad, stddev_samp(v) AS sd FROM n JOIN m ON n.user_id IS NOT DISTINCT FROM m.user_id GROUP BY n.user_id)
+    SELECT user_id, round(CASE WHEN mad > 0 THEN mad * 1.4826 ELSE sd END, 5) AS sigma FROM a""")
+def noise_nulls(t):
+    return stats.noise_threshold(null_keys(t), USER, "v").select("user_id", F.round("sigma", 5).alias("sigma"))
+
+
+@query("errors_nulls", f"""WITH n AS (SELECT event_id, CASE WHEN event_id % 5 > 0 THEN user_id END AS user_id, CASE WHEN event_id % 7 > 0 THEN ts END AS ts, distance FROM readings),
+    w AS (SELECT *, max(CASE WHEN distance < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 1 AS echoed FROM n WHERE user_id IS NOT NULL AND ts IS NOT NULL)
+    SELECT event_id, echoed AS distance_error FROM w UNION ALL SELECT event_id, NULL FROM n WHERE user_id IS NULL OR ts IS NULL""")
+def errors_nulls(t):
+    rows = t.readings.select("event_id", F.when(F.col("event_id") % 5 > 0, F.col("user_id")).alias("user_id"), F.when(F.col("event_id") % 7 > 0, F.col("ts")).alias("ts"), "distance")
+    out = sequences.distance_errors(Series.plan(rows, USER, "ts", ["event_id"]), "distance", "distance_error")
+    return out.rows().select("event_id", "distance_error")
+
+
 @query("effective_nulls", """SELECT o_orderkey, CASE WHEN d IS NOT NULL THEN coalesce(h.total_people, 10) END AS total_people
     FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS DATE) END AS d FROM orders) o ASOF LEFT JOIN headcount h ON o.d >= h.effective_date""")
 def effective_nulls(t):

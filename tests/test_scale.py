@@ -63,7 +63,7 @@ def test_chunks_have_equal_depth(spark, skewed):
         found = depths(Series.plan(skewed, ["user_id"], "ts", ["event_id"]))
     finally:
         spark.conf.unset(ROWS_PER_CHUNK_CONF)
-    assert max(found.values()) <= 50 and {k for k, c in found if c == 0} == set(range(2, 9)) and (1, 0) not in found
+    assert max(found.values()) <= 50 and {k for k in found if k[0] > 1} == {(u, 0) for u in range(2, 9)} and len(found) - 7 >= 400 / 50
     assert not Series.plan(skewed, ["user_id"], "ts", ["event_id"]).chunked
 
 
@@ -77,7 +77,7 @@ def test_equal_times_are_split_and_quiet_keys_are_not(spark):
     numbered = s.scan(prev={"before": F.col("event_id")}, sums={"n": F.lit(1)}).rows().where("user_id = 1")
     assert numbered.where("n <> event_id + 1 OR coalesce(before, -1) <> event_id - 1").count() == 0
     same = Series.of(busy.withColumn("event_id", F.lit(7)), ["user_id"], "ts", ["event_id"]).split(1000)
-    assert max(depths(same).values()) == 5000  # rows without any order stay together
+    assert max(depths(same).values()) <= 1000 and same.scan(sums={"n": F.lit(1)}).rows().agg(F.max("n")).first()[0] == 5000
 
 
 def test_rows_without_key_or_time_come_back(spark):
