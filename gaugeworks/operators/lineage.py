@@ -22,6 +22,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder name that no other table has, in the shared folder."""
+    return f"{shared_folder(spark)}/gaugeworks/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the frame once as a table in the shared folder and go on from its files.
 
@@ -29,6 +34,6 @@ def cut(df: DataFrame) -> DataFrame:
     Lost executors cost nothing but their running tasks.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/gaugeworks/{uuid.uuid4().hex}"
+    path = new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import LITRES_PER_UNIT
+from ..functions.scalars import LITRES_PER_UNIT, normalize_codes, parse_codes
 from ..operators.waste import HP_LABELS
 
 # Light limits of a configured hood and its sash positions in millimetres.
@@ -46,6 +46,13 @@ def classes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("category string, colour string, name string, cas string").option("header", True).csv(path)
 
 
+def hazard_lists(spark: SparkSession, path: str) -> DataFrame:
+    """Hazard groups of a user's file: CSV with grp and code, one code or several separated ones a row; distinct normalised codes."""
+    rows = spark.read.schema("grp string, code string").option("header", True).csv(path)
+    one_by_one = rows.select(F.trim("grp").alias("grp"), F.explode(normalize_codes(parse_codes(F.col("code")))).alias("code"))
+    return one_by_one.where("grp <> ''").groupBy("grp").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+
+
 def label(df: DataFrame, names: DataFrame, keys: list[str], fallback: Column, name: str = "label") -> DataFrame:
     """Display name of an entity; ``names`` has the keys and ``display``."""
     return df.join(names, keys, "left").withColumn(name, F.coalesce("display", fallback)).drop("display")

@@ -22,8 +22,9 @@ def readings(spark, rows, value="light"):
     return spark.createDataFrame(data, f"user_id long, event_id long, ts timestamp_ntz, {value} double")
 
 
-def series(df, width=None):
-    return Series.of(df, ["user_id"], "ts", ["event_id"], width)
+def series(df, rows=None):
+    s = Series.of(df, ["user_id"], "ts", ["event_id"])
+    return s.split(rows) if rows else s
 
 
 def one(df):
@@ -100,9 +101,9 @@ def test_working_day(spark):
 def test_presence_hours(spark):
     hoods = dims.hoods(spark.createDataFrame([(1,)], "user_id long"))
     rows = readings(spark, [("2026-01-01 09:00", 20), ("2026-01-01 10:00", 20), ("2026-01-02 09:00", 0), ("2026-01-02 10:00", 0)])
-    for width in (None, 600_000_000):
+    for chunk in (None, 3):
         flagged = usage.presence(rows, hoods, ["user_id"], "light", "room_lux")
-        out = {str(r.day): r.hours_present for r in sequences.presence_hours(series(flagged, width), "presence").collect()}
+        out = {str(r.day): r.hours_present for r in sequences.presence_hours(series(flagged, chunk), "presence").collect()}
         assert out == {"2026-01-01": 1.0, "2026-01-02": 0.0}
 
 
@@ -156,17 +157,70 @@ def test_code_lists(spark):
 
 def test_form_and_one_hot(spark):
     form = spark.createDataFrame([("1", "HP06;HP3", "1"), ("2", "hp4", "x"), ("x", None, "3"), (None, None, None)], "`Reference no` string, `Hazard properties (HP)` string, `No. of containers` string")
-    known = sheets.map_columns(form)
+    known = sheets.known_columns(form)
     assert known.columns == ["reference", "num_containers", "hazard_properties"] and known.count() == 3
     rows = sheets.clean_form(known).orderBy("reference").collect()
     assert [(r.reference, r.num_containers, r.HP3, r.HP4, r.HP6) for r in rows] == [("1", 1, 1, 0, 1), ("2", 0, 0, 1, 0)]
 
 
-def test_header_row(spark):
-    grid = spark.createDataFrame([(0, ["a"]), (1, ["Your Reference", "x"]), (2, ["data"]), (3, ["reference again"])], "row int, cells array<string>")
-    assert [r.row for r in sheets.header_row(grid, "row", "cells").collect()] == [2, 3]
-    plain = spark.createDataFrame([(i, ["v"]) for i in range(26)], "row int, cells array<string>")
-    assert [r.row for r in sheets.header_row(plain, "row", "cells").collect()] == [24, 25]
+def test_an_empty_column_hides_no_other(spark):
+    form = spark.createDataFrame([("1", None, " acetone "), ("2", " ", "ether"), ("3", "first", "second")], "Reference string, `Chemical name` string, `Description of waste` string")
+    assert [tuple(r) for r in sheets.known_columns(form).orderBy("reference").collect()] == [("1", "acetone"), ("2", "ether"), ("3", "first")]
+
+
+GRID = [
+    ("a", 0, ["Waste form", None, None]),
+    ("a", 2, ["Your Reference", "Chemical Name", " Description of waste ", "Note", "Chemical name 2"]),
+    ("a", 3, [" 7 ", None, "acetone ", "n"]),
+    ("a", 4, ["8", " ", "ether", None, "late"]),
+    ("a", 5, [None, "", "  ", "only a note"]),
+    ("a", 6, ["reference again"]),
+    ("b", 0, ["Reference", "Hazard Properties"]),
+    ("b", 1, ["1", "HP06; hp6"]),
+    ("c", 23, ["Chemical name", "x"]),
+    ("c", 24, ["solvent", "y"]),
+    ("d", 1, ["no", "header"]),
+    (None, 0, ["reference"]),
+    (None, 1, ["9"]),
+]
+
+
+def test_sheet_columns(spark):
+    grid = spark.createDataFrame(GRID, "sheet string, row int, cells array<string>").repartition(3)
+    out = sheets.sheet_columns(grid, "row", "cells", ["sheet"])
+    assert out.columns == ["sheet", "row", *dict.fromkeys(sheets.FORM_RULES.values())]
+    got = {(r.sheet, r.row): (r.reference, r.chemical_name, r.hazard_properties) for r in out.collect()}
+    assert got == {
+        ("a", 3): ("7", "acetone", None),
+        ("a", 4): ("8", "ether", None),
+        ("a", 6): ("reference again", None, None),
+        ("b", 1): ("1", None, "HP06; hp6"),
+        ("c", 24): (None, "solvent", None),
+        (None, 1): ("9", None, None),
+    }
+    clean = sheets.clean_form(out).orderBy("reference").collect()
+    assert [(r.reference, r.hazard_properties, r.HP6) for r in clean] == [("1", ["HP6"], 1), ("7", [], 0), ("8", [], 0), ("9", [], 0)]
+    alone = sheets.sheet_columns(grid.where("sheet = 'b'").drop("sheet"), "row", "cells")
+    assert [(r.row, r.reference) for r in alone.collect()] == [(1, "1")]
+    assert sheets.sheet_columns(grid.limit(0), "row", "cells", ["sheet"]).count() == 0
+
+
+def test_sheet_frame(spark):
+    rows = [*GRID[1:6], ("a", 7, [None, None, None, None, None, "beyond"])]
+    grid = spark.createDataFrame(rows, "sheet string, row int, cells array<string>")
+    out = sheets.sheet_frame(grid, "row", "cells")
+    # The second column has no values and goes; the last has no heading.
+    assert out.columns == ["row", "Your Reference", "Description of waste", "Note", "Chemical name 2", "Unnamed: 5"]
+    assert [(r["row"], r["Your Reference"], r["Note"], r["Unnamed: 5"]) for r in out.orderBy("row").collect()] == [(3, "7", "n", None), (4, "8", None, None), (5, None, "only a note", None), (6, "reference again", None, None), (7, None, None, "beyond")]
+    twice = spark.createDataFrame([(0, ["reference", "a", "a"]), (1, ["1", "x", "y"])], "row int, cells array<string>")
+    assert sheets.sheet_frame(twice, "row", "cells").columns == ["row", "reference", "a", "a (2)"]
+    assert sheets.sheet_frame(twice.limit(0), "row", "cells").count() == 0
+
+
+def test_hazard_lists(spark, tmp_path):
+    (tmp_path / "h.csv").write_text("grp,code\nair,H330; h331\nair,H330\n water ,H400\n,H1\n")
+    got = {r.grp: r.codes for r in dims.hazard_lists(spark, str(tmp_path / "h.csv")).collect()}
+    assert got == {"air": ["H330", "H331"], "water": ["H400"]}
 
 
 def waste_rows(spark, rows):
@@ -205,35 +259,35 @@ def test_headcount_must_be_positive(spark):
 
 
 @pytest.mark.parametrize("zeros, errors", [(9, 9), (10, 0)])
-@pytest.mark.parametrize("width", [None, 180_000_000])
-def test_zero_runs(spark, zeros, errors, width):
+@pytest.mark.parametrize("chunk", [None, 3])
+def test_zero_runs(spark, zeros, errors, chunk):
     values = [5] + [0] * zeros + [5, 501]
     rows = readings(spark, [(f"2026-01-01 00:{i:02d}", v) for i, v in enumerate(values)])
-    flagged = sequences.light_errors(series(rows, width), "light", "bad").rows()
+    flagged = sequences.light_errors(series(rows, chunk), "light", "bad").rows()
     assert flagged.where("bad AND light = 0").count() == errors
     assert flagged.where("bad AND light > 0").count() == 1
 
 
-@pytest.mark.parametrize("width", [None, 120_000_000])
-def test_negative_echo_over_chunks(spark, width):
+@pytest.mark.parametrize("chunk", [None, 2])
+def test_negative_echo_over_chunks(spark, chunk):
     rows = readings(spark, [(f"2026-01-01 00:{i:02d}", -1 if i == 2 else 100) for i in range(10)], "distance")
-    bad = lambda **kw: [r.event_id for r in sequences.distance_errors(series(rows, width), "distance", "bad", **kw).rows().where("bad").orderBy("event_id").collect()]
+    bad = lambda **kw: [r.event_id for r in sequences.distance_errors(series(rows, chunk), "distance", "bad", **kw).rows().where("bad").orderBy("event_id").collect()]
     assert bad() == [2, 3, 4, 5, 6]
     assert bad(descending=True) == [0, 1, 2]
 
 
-@pytest.mark.parametrize("width", [None, 60_000_000])
-def test_rolling_frame_leaves_out_its_left_end(spark, width):
+@pytest.mark.parametrize("chunk", [None, 2])
+def test_rolling_frame_leaves_out_its_left_end(spark, chunk):
     rows = readings(spark, [("2026-01-01 00:00", 1), ("2026-01-01 00:01", 4), ("2026-01-01 00:06", 6)], "kw")
-    out = sequences.rolling_change(series(rows, width), F.col("kw"), "delta").rows().orderBy("ts").collect()
+    out = sequences.rolling_change(series(rows, chunk), F.col("kw"), "delta").rows().orderBy("ts").collect()
     assert [r.delta for r in out] == [0.0, 3.0, 2.0]
 
 
 @pytest.mark.parametrize("n", [6, 7, 8, 9, 20])
 def test_savgol_reproduces_a_parabola(spark, n):
     rows = readings(spark, [(f"2026-01-01 00:{i:02d}", i * i) for i in range(n)], "v")
-    for width in (None, 240_000_000):
-        out = sequences.savgol(series(rows, width), "v", "s").rows().orderBy("ts").collect()
+    for chunk in (None, 4):
+        out = sequences.savgol(series(rows, chunk), "v", "s").rows().orderBy("ts").collect()
         assert [r.s for r in out] == pytest.approx([float(i * i) for i in range(n)], abs=1e-9)
 
 
