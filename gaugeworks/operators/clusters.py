@@ -117,12 +117,21 @@ def own_clusters(points: DataFrame, keys: list[str], idc: str) -> DataFrame:
     return points.withColumn("cluster", F.col(idc))
 
 
+def letters(n: Column, places: int = 7) -> Column:
+    """Letters of a number from 1 on, as spreadsheet columns are named."""
+    out, rest = F.lit(""), n.cast("long")
+    for _ in range(places):
+        out = F.when(rest > 0, F.concat(F.char(F.lit(65) + (rest - 1) % 26), out)).otherwise(out)
+        rest = F.when(rest > 0, F.floor((rest - 1) / 26)).otherwise(F.lit(0))
+    return out
+
+
 def rank_labels(df: DataFrame, keys: list[str], cluster: str, size: str, presence: str | None = None) -> DataFrame:
-    """Clusters with mean size (and presence), lettered A, B, .. from the largest mean down."""
+    """Clusters with mean size (and presence), lettered A, B, .. Z, AA, AB, .. from the largest mean down."""
     aggs = [F.avg(size).alias("mean_abs")] + ([F.avg(presence).alias("mean_presence")] if presence else [])
     stats = df.groupBy(*keys, cluster).agg(*aggs, F.count("*").alias("members"))
     w = Window.partitionBy(*keys).orderBy(F.desc("mean_abs"), cluster)  # one row per cluster
-    return stats.withColumn("label", F.char(F.lit(64) + F.row_number().over(w)))
+    return stats.withColumn("label", letters(F.row_number().over(w)))
 
 
 def smooth_deltas(s: Series, kw: str, noise_factor: float = 2.0, small: bool | None = None) -> tuple[Series, DataFrame]:

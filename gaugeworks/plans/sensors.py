@@ -253,12 +253,19 @@ def entities_all_days(t):
     return stats.entities_all_days(t.events, USER, "ts", ["2024-01-05", "2024-01-12"])
 
 
-@query("pick_entity", """SELECT min(user_id) AS user_id FROM (SELECT user_id FROM events WHERE CAST(ts AS DATE) IN (DATE '2024-01-05', DATE '2024-01-12')
-    GROUP BY user_id HAVING count(DISTINCT CAST(ts AS DATE)) = 2)""")
+@query("pick_entity", """SELECT coalesce((SELECT min(user_id) FROM (SELECT user_id FROM events WHERE CAST(ts AS DATE) IN (DATE '2024-01-05', DATE '2024-01-12')
+    GROUP BY user_id HAVING count(DISTINCT CAST(ts AS DATE)) = 2)), (SELECT min(user_id) FROM events)) AS user_id""")
 def pick_entity(t):
     return stats.pick_entity(t.events, USER, "ts", ["2024-01-05", "2024-01-12"])
 
 
+@query("pick_fallback", """SELECT coalesce((SELECT min(user_id) FROM (SELECT user_id FROM events WHERE CAST(ts AS DATE) IN (DATE '1999-01-05', DATE '2024-01-12')
+    GROUP BY user_id HAVING count(DISTINCT CAST(ts AS DATE)) = 2)), (SELECT min(user_id) FROM events)) AS user_id""")
+def pick_fallback(t):
+    """No entity has rows on both days, so the first one counts."""
+    return stats.pick_entity(t.events, USER, "ts", ["1999-01-05", "2024-01-12"])
+
+
 @query("busiest_entity", "SELECT user_id, count(*) AS rows FROM events GROUP BY user_id ORDER BY rows DESC, user_id LIMIT 1")
 def busiest_entity(t):
     return stats.busiest(t.events, USER)

@@ -111,6 +111,33 @@ def sql_functions(t):
     return t.orders.select("o_orderkey", F.expr("prev_working_day(cast(o_orderdate AS date))").alias("d"))
 
 
+def _with_functions(t):
+    register.register(t.spark)
+    return t
+
+
+@query("sql_litres")
+def sql_litres(t):
+    rows = _with_functions(t).containers
+    return rows.select("l_orderkey", "l_linenumber", "size", "unit", F.expr("round(to_litres(size, unit), 6)").alias("litres"))
+
+
+@query("sql_sash")
+def sql_sash(t):
+    rows = _with_functions(t).readings.join(t.hoods, USER, "left")
+    return rows.select("event_id", F.expr("round(sash_percent(distance, closed_mm, open_mm), 4)").alias("sash_pct"))
+
+
+@query("sql_codes")
+def sql_codes(t):
+    rows = _with_functions(t).form_codes
+    return rows.select("p_partkey", F.size(S.parse_codes(F.col("codes"))).alias("parsed"), F.expr("array_join(normalize_codes(codes), ',')").alias("codes"))
+
+
+# The functions give what the operators give.
+ORACLES |= {"sql_litres": ORACLES["unit_convert"], "sql_sash": ORACLES["calibrate_percent"], "sql_codes": ORACLES["code_list"]}
+
+
 def _chunked(name: str):
     def run(spark, sf_dir):
         before = spark.conf.get(ROWS_PER_CHUNK_CONF, None)

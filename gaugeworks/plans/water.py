@@ -48,12 +48,12 @@ def water_stats(t):
     return out.withColumns({c: F.col(c).cast("double") for c in ("max_value", "total", "year_total")})
 
 
-@query("weekly_dense", """WITH r AS (SELECT user_id, CAST(date_trunc('week', ts) AS DATE) AS week, CAST(value AS DECIMAL(18,2)) AS v FROM events WHERE event_type = 'purchase'),
+@query("weekly_dense", """WITH r AS (SELECT user_id, CAST(date_trunc('week', ts) AS DATE) AS week, CAST(value AS DECIMAL(18,2)) AS v FROM events),
     s AS (SELECT user_id, week, CAST(sum(v) AS DOUBLE) AS total FROM r GROUP BY 1, 2),
     g AS (SELECT user_id, CAST(unnest(generate_series(min(week), max(week), INTERVAL 7 DAY)) AS DATE) AS week FROM r GROUP BY user_id)
     SELECT user_id, week, coalesce(total, 0) AS total FROM g LEFT JOIN s USING (user_id, week)""")
 def weekly_dense(t):
-    rows = t.events.where("event_type = 'purchase'").select("user_id", "ts", F.col("value").cast(DEC).alias("value"))
+    rows = t.events.select("user_id", "ts", F.col("value").cast(DEC).alias("value"))
     return stats.weekly_dense(rows, USER, "ts", "value").withColumn("total", F.col("total").cast("double"))
 
 
