@@ -104,7 +104,7 @@ def products(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
     if not len(rows):
         return np.zeros(0, np.int64)
     # With every partial sum below the mantissa's range, floating point computes whole numbers exactly.
-    bound = float(np.abs(rows).max()) * float(np.abs(q).sum(dtype=np.float64))
+    bound = float(np.abs(rows.astype(np.float64)).max()) * float(np.abs(q.astype(np.float64)).sum())
     if bound < 2**24:
         return (rows.astype(np.float32) @ q.astype(np.float32)).astype(np.int64)
     if bound < 2**53:
@@ -112,7 +112,7 @@ def products(rows: np.ndarray, q: np.ndarray) -> np.ndarray:
     if bound < 2**62:
         return rows.astype(np.int64) @ q
     exact = rows.astype(object) @ q.astype(object)
-    return np.array([min(max(int(s), -_LONG - 1), _LONG) for s in exact], np.int64)
+    return np.array([min(max(int(s), -_LONG), _LONG) for s in exact], np.int64)  # the least can be negated
 
 
 def _kth(values: np.ndarray, k: int) -> float:

@@ -98,7 +98,7 @@ def test_manifest_query(spark):
 
 def plain_negatives(rows, is_anchor, k=5, best=3, low=50, high=95):
     rows = sorted({(i, str(label), tuple(v)) for i, label, v in rows if i is not None and label is not None and v is not None})
-    dot = lambda a, b: min(max(sum(x * y for x, y in zip(a, b)), -(2**63)), 2**63 - 1)
+    dot = lambda a, b: min(max(sum(x * y for x, y in zip(a, b)), 1 - 2**63), 2**63 - 1)
     out = []
     for i, label, v in rows:
         if not is_anchor(i):
