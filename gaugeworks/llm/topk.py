@@ -10,7 +10,7 @@ before it is shuffled.
 
 Queries meet every block in chunks of bounded size, so neither side is broadcast or held whole by a task.
 
-Cases: vectors that are null or hold null or non-finite components take no part, nor do rows with a null id; shorter
+Cases: components and scores saturate at the limits of 64-bit integers; vectors that are null or hold null or non-finite components take no part, nor do rows with a null id; shorter
 vectors count as ending in zeros; equal scores go to the smaller id; a repeated id is another candidate, a query's own id
 is none; fewer candidates than ``k`` give fewer rows; empty tables give an empty result.
 """
@@ -22,17 +22,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .negatives import matrix, products, quantised
+
 BLOCK = 8192
 CHUNK = 4096
-LEVELS = 16
+LEVELS = 8
+#: Above every sum of impacts: a vector's seen postings are counted in these units, beside its impacts, in one exact sum.
+_SEEN = 1 << 44
 FOUND = "query_id bigint, vec_id bigint, score bigint"
 
 
 def quantise(vector: Column, scale: int = 256) -> Column:
     """floor(scale * x) of each component; null unless all components are finite."""
-    x = F.transform(vector, lambda v: v.cast("double"))
-    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    return F.when(~bad, F.transform(x, lambda v: F.floor(v * scale).cast("int")))
+    return quantised(vector, scale)
 
 
 class Block:
@@ -42,13 +44,18 @@ class Block:
         order = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[order], rows[order].astype(np.int64)
         by_value = np.argsort(self.rows, axis=0, kind="stable")
-        self.postings = np.ascontiguousarray(by_value.T).astype(np.int32)
+        self.postings = np.ascontiguousarray(by_value.T).astype(np.intp)
         self.values = np.ascontiguousarray(np.take_along_axis(self.rows, by_value, axis=0).T)
+        #: What a posting has over the least value of its dimension, and what it lacks to the greatest.
+        self.over = (self.values - self.values[:, :1]).astype(np.float64)
+        self.under = (self.values[:, -1:] - self.values).astype(np.float64)
+        self.spread = float(np.abs(self.rows.astype(np.float64)).max(initial=0)) * 2
 
     def candidates(self, q: np.ndarray, k: int) -> np.ndarray:
         """Rows that may be among the ``k`` best; a proven superset."""
         n = len(self.ids)
-        if n <= 4 * k or not len(q):
+        # Products too large for exact sums of impacts are all scored.
+        if n <= 4 * k or not len(q) or self.spread * float(np.abs(q).sum(dtype=np.float64)) >= _SEEN or len(q) * _SEEN >= 2**53:
             return np.arange(n)
         low, high = self.values[:, 0], self.values[:, -1]
         width = np.abs(q) * (high - low)
@@ -66,24 +73,22 @@ class Block:
                 cuts.append(np.searchsorted(self.values[d], high[d] - part, side="right"))
         ends = np.array(cuts)
         ends[:, LEVELS] = 0  # the greatest impacts belong to the top level, also where they equal its bound
-        gathered, seen = np.zeros(n), np.zeros(n)
+        both, weight = np.zeros(n), np.abs(q[used]).astype(np.float64).tolist()
         few = max(8 * k, n // 64)
         for level in range(LEVELS - 1, -1, -1):
-            ids, impacts = [], []
-            for row, d in enumerate(used):
-                a, b = ends[row, level + 1], ends[row, level]
+            size = int((ends[:, level] - ends[:, level + 1]).sum())
+            ids, impacts, at = np.empty(size, np.intp), np.empty(size), 0
+            for d, a, b, w in zip(used.tolist(), ends[:, level + 1].tolist(), ends[:, level].tolist(), weight, strict=True):
                 if a == b:
                     continue
-                if q[d] > 0:
-                    ids.append(self.postings[d, n - b : n - a])
-                    impacts.append((self.values[d, n - b : n - a] - low[d]) * q[d])
-                else:
-                    ids.append(self.postings[d, a:b])
-                    impacts.append((self.values[d, a:b] - high[d]) * q[d])
-            if ids:
-                at = np.concatenate(ids)
-                gathered += np.bincount(at, np.concatenate(impacts), n)
-                seen += np.bincount(at, minlength=n)
+                part = slice(n - b, n - a) if q[d] > 0 else slice(a, b)
+                ids[at : at + b - a] = self.postings[d, part]
+                np.multiply((self.over if q[d] > 0 else self.under)[d, part], w, out=impacts[at : at + b - a])
+                at += b - a
+            impacts += float(_SEEN)
+            both += np.bincount(ids, impacts, n)
+            seen = np.floor(both / _SEEN)
+            gathered = both - seen * _SEEN
             least = np.partition(gathered, n - k)[n - k]
             possible = np.flatnonzero(gathered + (len(used) - seen) * bounds[level] >= least)
             if len(possible) <= few:
@@ -93,18 +98,11 @@ class Block:
     def best(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         at = self.candidates(q, k + int(np.count_nonzero(self.ids == query_id)))
         at = at[self.ids[at] != query_id]
-        scores = self.rows[at] @ q
+        scores = products(self.rows[at], q)
         order = np.lexsort((self.ids[at], -scores))[:k]
         return self.ids[at][order], scores[order]
 
 
-def _matrix(vectors: pd.Series, dims: int) -> np.ndarray:
-    out = np.zeros((len(vectors), dims), np.int64)
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
-    return out
-
-
 def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "vector") -> DataFrame:
     """The ``k`` best rows of ``vectors`` for each row of ``queries``: query_id, rank (from 1), vec_id, score."""
     stored = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
@@ -122,8 +120,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(block) and len(chunk):
             dims = max(block["v"].map(len).max(), chunk["v"].map(len).max())
-            index = Block(block["id"].to_numpy(), _matrix(block["v"], dims))
-            for query_id, q in zip(chunk["id"], _matrix(chunk["v"], dims), strict=True):
+            index = Block(block["id"].to_numpy(), matrix(list(block["v"]), dims))
+            for query_id, q in zip(chunk["id"], matrix(list(chunk["v"]), dims), strict=True):
                 ids, scores = index.best(query_id, q, k)
                 out["query_id"].extend([query_id] * len(ids))
                 out["vec_id"].extend(ids)
