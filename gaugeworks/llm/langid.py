@@ -7,7 +7,7 @@ fewest bits; the score is that language's share of the likelihoods.  All windows
 different window, for all languages together.
 
 The trees are fitted on a bounded sample: at most ``sample_rows`` labelled rows a language, spread over all rows by
-hash, of at most ``sample_bytes`` bytes each, so the model is bounded too and its size is checked before it is sent out.
+hash, of each the first ``sample_chars`` characters, so the model is bounded too; its size is checked before it is built and sent out.
 Whole texts of all rows are scored.
 
 Cases: null texts and texts without a letter are ``und`` with score 0, as is everything if there is nothing to learn
@@ -25,9 +25,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
+from ..operators.series import is_small
+
 ORDER = 4
 SLICE = 1 << 19
 MODEL_BYTES = 128 << 20
+#: (language, window) counts that the driver takes at most; checked before it takes any.
+MODEL_GRAMS = 1 << 22
 UNKNOWN = "und"
 SPACE = 1 << 62
 
@@ -135,13 +140,17 @@ class Model:
         return out
 
 
-def fit(labelled: DataFrame, id_col: str, text: str, lang: str, sample_rows: int = 400, sample_bytes: int = 1 << 16) -> Model:
-    """Fit on a bounded sample of labelled rows; null ids, texts or labels are not learnt from."""
-    rows = labelled.select(F.xxhash64(id_col, text).alias("h"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col(id_col).isNotNull() & (F.octet_length("text") <= sample_bytes))
-    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * sample_rows) / F.count("*")).alias("share"))
+def fit(labelled: DataFrame, id_col: str, text: str, lang: str, sample_rows: int = 400, sample_chars: int = 1 << 16) -> Model:
+    """Fit on a bounded sample: ``sample_rows`` rows a language by hash, of each the first ``sample_chars`` characters.
+
+    Null ids, texts or labels are not learnt from.  The sample is sifted where the rows are read, so only about twice the
+    wanted rows are shuffled.
+    """
+    rows = labelled.select(F.xxhash64(id_col, text).alias("h"), F.substring(text, 1, sample_chars).alias("text"), F.col(lang).alias("lang"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col(id_col).isNotNull())
+    share = cut(rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * sample_rows) / F.count("*")).alias("share")))
     # About twice the wanted rows pass by hash, so the ranking below sees few rows of any language.
-    some = rows.join(share, "lang").where((F.shiftrightunsigned("h", 2) / F.lit(float(SPACE))) < F.col("share"))
+    some = rows.join(F.broadcast(share) if is_small(share) else share, "lang").where((F.shiftrightunsigned("h", 2) / F.lit(float(SPACE))) < F.col("share"))
     ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("rank") <= sample_rows)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,6 +161,9 @@ def fit(labelled: DataFrame, id_col: str, text: str, lang: str, sample_rows: int
                     yield pd.DataFrame({"lang": name, "gram": kinds.astype(np.int64), "n": n})
 
     counts = ranked.select("lang", "text").mapInPandas(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = cut(counts)
+    if counts.count() > MODEL_GRAMS:
+        raise ValueError("the model would be larger than its bound; fit on fewer rows or languages")
     return Model.of(counts.toPandas())
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm import elias_fano, fm_index, langid, ngram_lm, spots, topk, words
 from gaugeworks.llm.queries import QUERIES
+from gaugeworks.operators.lineage import cut as real_cut
 
 from . import brute
 
@@ -243,3 +244,33 @@ def test_word_hashes(texts):
     assert counts.tolist() == [len(w) for w in want]
     flat = [w for ws in want for w in ws]
     assert len(set(zip(flat, hashes.tolist(), strict=True))) == len(set(flat)) == len(set(hashes.tolist()))
+
+
+def test_language_sample_is_sifted_before_it_is_shuffled(spark, monkeypatch):
+    long = "un texte assez long pour être appris " * 4000
+    rows = [(i, "aa", f"the thing is on the hill number {i}") for i in range(300)] + [(1000, "bb", long)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4)
+    seen = []
+    monkeypatch.setattr(langid, "cut", lambda f: (seen.append(f), real_cut(f))[1])
+    model = langid.fit(df, "doc_id", "text", "lang", sample_rows=20, sample_chars=1000)
+    assert model.languages == ["aa", "bb"]  # a language of long texts only is learnt from their beginnings
+    plan = seen[1]._jdf.queryExecution().executedPlan().toString()
+    before = plan[plan.index("Window") :]
+    assert "BroadcastHashJoin" in plan and before.index("Exchange hashpartitioning(lang") < before.index("BroadcastHashJoin")
+    monkeypatch.setattr(langid, "MODEL_GRAMS", 3)
+    with pytest.raises(ValueError, match="larger than its bound"):
+        langid.fit(df, "doc_id", "text", "lang")
+
+
+def test_search_takes_large_and_odd_components(spark):
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate([(1e7, 1), (1e7, 2), (-9e6, 0), (5e6, 1e7), (1e300, 1), (-1e300, -1), (0, 0), (1, 1)])]
+    rows += [(20, [float("nan"), 1.0]), (21, [None, 1.0]), (22, None)]
+    df = spark.createDataFrame(rows, "vec_id long, x array<double>").select("vec_id", topk.quantise(F.col("x")).alias("vector"))
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(df, df.where("vec_id < 3"), 3).collect())
+    whole = lambda x: min(max(int(np.floor(256 * x)), -(2**63)), 2**63 - 1) if abs(x) < 1e18 else (2**63 - 1 if x > 0 else -(2**63))
+    exact = {i: [whole(x) for x in v] for i, v in rows[:8]}
+    want = []
+    for q in range(3):
+        scored = sorted((-min(max(sum(a * b for a, b in zip(exact[q], exact[i])), 1 - 2**63), 2**63 - 1), i) for i in exact if i != q)
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:3])]
+    assert got == want
