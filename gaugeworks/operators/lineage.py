@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 FOLDER_CONF = "spark.checkpoint.dir"
+_scopes: list[list[tuple[str, StructType]]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,5 +39,23 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark)
+    if _scopes:
+        _scopes[-1].append((path, df.schema))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside are emptied at the end, also after a failure.
+
+    Frames made inside read them, so a result must be written or collected before the scope ends.  Scopes nest; each
+    empties its own tables.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path, schema in _scopes.pop():
+            # Spark's writer is the one way to delete that works on any store the folder may lie in.
+            spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)

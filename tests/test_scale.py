@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import asof, clusters, sequences, stats
+from gaugeworks.operators import asof, clusters, lineage, sequences, stats
 from gaugeworks.operators.quantiles import exact_quantiles, from_ordered_bits, ordered_bits
 from gaugeworks.operators.series import ROWS_PER_CHUNK_CONF, Series
 from gaugeworks.plans import marts
@@ -236,3 +236,20 @@ def test_marts(spark, tmp_path):
     counts = {n: spark.read.parquet(f"{tmp_path}/{n}").count() for n in made}
     assert len(counts) == 23 and all(counts.values()), counts
     assert counts["hood_cards"] == t.readings.select("user_id").distinct().count()
+
+
+def test_a_scope_leaves_no_rows_behind(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lineage, "shared_folder", lambda s: str(tmp_path))
+    t = Tables(spark, "/root/testdata/sf0.001")
+    points = t.events.select("user_id", "event_id", F.col("value").alias("size"), (F.col("event_id") % 2).cast("int").alias("here"))
+    noise = points.select("user_id").distinct().withColumn("threshold", F.lit(1.0))
+    stored = lambda: sum(spark.read.parquet(str(p)).count() for p in (tmp_path / "gaugeworks").iterdir())
+    with lineage.scope(spark):
+        found = clusters.density_clusters(points, noise, ["user_id"], "event_id", "size", "here").collect()
+        assert found and stored() > 0
+    assert stored() == 0
+    with pytest.raises(ZeroDivisionError), lineage.scope(spark):
+        Series.of(points.withColumn("ts", F.lit("2026-01-01").cast("timestamp_ntz")), ["here"], "ts", ["event_id"]).split(50)
+        assert stored() > 0
+        1 / 0
+    assert stored() == 0
