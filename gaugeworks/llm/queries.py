@@ -144,11 +144,11 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_spot_signatures")
 def spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .spots import as_text, edited, likeness, signatures, with_next
+    from .spots import as_text, edited, likeness, signatures_after, with_head, with_next
 
-    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    marked = with_next(docs.withColumn("sig", signatures(F.col("text"))), "doc_id", {"text": "next_text", "sig": "next_sig"})
-    changed = marked.withColumn("edited", edited(F.col("text"), F.col("next_text"))).withColumn("edited_sig", signatures(F.col("edited")))
+    docs = with_head(documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    marked = with_next(docs.withColumn("sig", signatures_after(F.col("text"))), "doc_id", {"text": "next_text", "sig": "next_sig"})
+    changed = marked.withColumn("edited", edited(F.col("text"), F.col("next_text"))).withColumn("edited_sig", signatures_after(F.col("edited")))
     return changed.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),

@@ -51,15 +51,61 @@ def _pattern() -> tuple[str, str]:
     return f"(?= ({common}{skipping * CHAIN}|{plain}) )", f" {common}(?= )"
 
 
-def signatures(text: Column) -> Column:
-    """Sorted distinct hashes of the spots of a text (array of int)."""
+def _normal(text: Column) -> Column:
+    """Lower-case words with one space before, between and after."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+
+
+def _spots(words: Column) -> Column:
     spot, common = _pattern()
-    plain = F.coalesce(text, F.lit(""))
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(plain), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    spots = F.array_distinct(F.transform(F.regexp_extract_all(words, F.lit(spot), F.lit(1)), lambda s: F.hash(F.regexp_replace(s, common, ""))))
+    return F.transform(F.regexp_extract_all(words, F.lit(spot), F.lit(1)), lambda s: F.hash(F.regexp_replace(s, common, "")))
+
+
+def _with_whole(spots: Column, words: Column, plain: Column) -> Column:
     whole = F.when(F.length(F.trim(words)) > 0, F.array(F.hash(F.trim(words)))).when(plain != "", F.array(F.hash(plain))).otherwise(F.array().cast("array<int>"))
     # The list with the whole text behind it has an element to look at in any case.
-    return F.array_sort(F.transform(F.array(spots), lambda s: F.when(F.size(s) > 0, s).otherwise(whole))[0])
+    return F.array_sort(F.transform(F.array(F.array_distinct(spots)), lambda s: F.when(F.size(s) > 0, s).otherwise(whole))[0])
+
+
+def signatures(text: Column) -> Column:
+    """Sorted distinct hashes of the spots of a text (array of int)."""
+    plain = F.coalesce(text, F.lit(""))
+    words = _normal(plain)
+    return _with_whole(_spots(words), words, plain)
+
+
+def head_length(text: Column) -> Column:
+    """Characters of the first three quarters up to and with their last space: what an edit leaves, in whole words."""
+    plain = F.coalesce(text, F.lit(""))
+    n = F.length(plain)
+    left = F.substring(plain, F.lit(1), (n - F.floor(n / 4)).cast("int"))
+    return F.length(left) - F.length(F.substring_index(left, " ", -1))
+
+
+def with_head(df: DataFrame, text: str = "text") -> DataFrame:
+    """Add ``_sp_n`` (length of the head), ``_sp_s`` (spots inside it) and ``_sp_z`` (its words from the second last content word on).
+
+    A spot is decided by its words alone, so spots inside the head are spots of every text that begins with it, and any
+    other spot of such a text begins within ``_sp_z`` or behind.
+    """
+    head = df.withColumn("_sp_n", head_length(F.col(text)))
+    words = _normal(F.substring(F.coalesce(text, F.lit("")), F.lit(1), F.col("_sp_n")))
+    common = _any_of(ANCHORS)
+    end = f"((?: (?!{common} )[^ ]+(?: {common}(?= ))*+){{{CHAIN}}}) $"
+    head = head.withColumn("_sp_w", words)
+    last = F.regexp_extract("_sp_w", end, 1)
+    # A head of fewer content words is looked at again as a whole.
+    return head.withColumn("_sp_s", F.array_distinct(_spots(F.col("_sp_w")))).withColumn("_sp_z", F.when(last != "", last).otherwise(F.rtrim("_sp_w"))).drop("_sp_w")
+
+
+def signatures_after(text: Column) -> Column:
+    """``signatures`` of a text that begins with the head that ``with_head`` has looked at."""
+    plain = F.coalesce(text, F.lit(""))
+    rest = F.concat(F.col("_sp_z"), _normal(F.substring(plain, F.col("_sp_n") + 1, F.length(plain))))
+    rest = F.regexp_replace(rest, " +", " ")
+    spots = F.concat(F.col("_sp_s"), _spots(rest))
+    # Without any spot all words are in the rest or, for a long head, are made once more.
+    return _with_whole(spots, _normal(plain), plain)
 
 
 def as_text(signature: Column) -> Column:

@@ -274,3 +274,77 @@ def test_search_takes_large_and_odd_components(spark):
         scored = sorted((-min(max(sum(a * b for a, b in zip(exact[q], exact[i])), 1 - 2**63), 2**63 - 1), i) for i in exact if i != q)
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:3])]
     assert got == want
+
+
+def murmur(raw):
+    """Spark's hash of a text: murmur3, bytes beyond the last whole word one by one."""
+    m32 = 0xFFFFFFFF
+    rot = lambda x, r: ((x << r) | (x >> (32 - r))) & m32
+
+    def step(h, k):
+        k = rot((k * 0xCC9E2D51) & m32, 15) * 0x1B873593 & m32
+        return (rot(h ^ k, 13) * 5 + 0xE6546B64) & m32
+
+    h, whole = 42, len(raw) // 4 * 4
+    for i in range(0, whole, 4):
+        h = step(h, int.from_bytes(raw[i : i + 4], "little"))
+    for b in raw[whole:]:
+        h = step(h, (b - 256 if b > 127 else b) & m32)
+    h ^= len(raw)
+    h = ((h ^ (h >> 16)) * 0x85EBCA6B) & m32
+    h = ((h ^ (h >> 13)) * 0xC2B2AE35) & m32
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def plain_signature(text):
+    import regex
+
+    words = regex.sub(r"[^\p{L}\p{N}]+", " ", (text or "").lower()).split(" ")
+    words = [w for w in words if w]
+    common, found = set(spots.ANCHORS), set()
+    for i, w in enumerate(words):
+        behind = words[i + 1 :][: 200 if w in common else spots.CHAIN]
+        content = [x for x in behind if x not in common][: spots.CHAIN]
+        if len(content) == spots.CHAIN and (w in common or content == behind):
+            found.add(murmur(" ".join([w, *content]).encode()))
+    if not found and words:
+        found = {murmur(" ".join(words).encode())}
+    if not found and text:
+        found = {murmur(text.encode())}
+    return sorted(found)
+
+
+ODD_SPOTS = ["the of and", "the cat of", "a b", "the the the cat the dog the", "cat dog of the", " the cat sat of ", "the cat the " * 9, "of " * 50 + "cat " * 3 + "the " * 9, "a1 the-cat's (dog) of\tthe bird\nfish", "one\ttwo\nthree"]
+
+
+def test_fingerprints_by_a_plain_loop(spark):
+    from .conftest import sample_texts
+
+    rows = [t for t in sample_texts() + ODD_SPOTS if t is None or "İ" not in t]
+    df = spots.with_head(spark.createDataFrame(list(enumerate(rows)), "i long, text string").repartition(3))
+    following = "the bird of a tree sings and the fish swims in deep water " * 3
+    df = df.withColumn("edited", spots.edited(F.col("text"), F.lit(following)))
+    got = df.select("text", "edited", spots.signatures(F.col("text")).alias("a"), spots.signatures_after(F.col("text")).alias("b"), spots.signatures_after(F.col("edited")).alias("c")).collect()
+    for r in got:
+        k = len(r.text or "") // 4
+        assert r.edited == (r.text or "")[: len(r.text or "") - k] + following[:k]
+        assert r.a == r.b == plain_signature(r.text), r.text
+        assert r.c == plain_signature(r.edited), r.edited
+
+
+def test_fingerprint_query(spark):
+    rows = {r["doc_id"]: r for r in QUERIES["op6_spot_signatures"](spark, FOLDER).collect()}
+    texts = {k: r["text"] or "" for k, r in docs(spark).items()}
+    order = sorted(texts)
+    as_text = lambda s: "".join(f"{x & 0xFFFFFFFF:08X}" for x in s)
+    like = lambda a, b: 1.0 if not a and not b else len(set(a) & set(b)) / len(set(a) | set(b))
+    for at, k in enumerate(order):
+        text, after = texts[k], texts[order[(at + 1) % len(order)]]
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + after[:cut]
+        own, new, other = plain_signature(text), plain_signature(edited), plain_signature(after)
+        r = rows[k]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (as_text(own), as_text(new))
+        assert r["near_edited"] == pytest.approx(like(own, new)) and r["near_next"] == pytest.approx(like(own, other))
