@@ -9,10 +9,12 @@ fewer than ``PAIRS_FROM`` shingles file single shingles only.  What counts as fr
 
 Entries meet in blocks of sorted hashes by shard; inside a block the sets of one entry follow its first set, which
 alone goes on to the shard, so a frequent entry costs a shard one row per block.  Entries of two or more sets are kept.
-Each set is first held against its hubs; then, for every entry whose sets are still in different components, all pairs
-across components (the largest component of an entry is not paired with itself, so a group of copies costs its size, not
-its square).  A pair is dropped when its sizes or its counts of shingles by hash remainder rule a link out: first by few remainders,
-then by about as many as the set has shingles.  For what is left the whole sets of 64-bit shingle hashes are compared.
+Each set is first held against its hubs: a pair is dropped when its sizes or its counts of shingles by hash remainder rule a
+link out, first by few remainders, then by about as many as the set has shingles; for what is left the whole sets of 64-bit
+shingle hashes are compared.  The sets of an entry that are still in different components are compared within one task
+by odd sketches, an entry of many sets in parts; what passes is proposed as a spanning forest, most alike first, so an entry
+gives fewer pairs than it has sets, and is confirmed on whole sets.  Where a proposal fails, the entry's other pairs across
+components are confirmed too.
 Only texts of such sets are dealt out again; a bitmap of fixed size keeps most others from being shuffled.
 
 Cases: texts without words, null or empty, have an empty set, link with nothing and are their own component; a text with
@@ -149,6 +151,8 @@ def most_shared(x: bytes, y: bytes) -> int:
 def described(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """One row per document (doc, n, a, b: size and hash of its set; its sketches) and shingles that some task met in several sets."""
 
+    from .chosen_path import odd_sketch  # that module builds on this one
+
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[int, np.ndarray] = {}
         held = 0
@@ -156,14 +160,14 @@ def described(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
         def often() -> pd.DataFrame:
             kinds, n = np.unique(np.concatenate([*seen.values(), np.empty(0, np.uint64)]), return_counts=True)
             kinds, n = kinds[n > 1], n[n > 1]
-            return pd.DataFrame({"doc": pd.Series([None] * len(kinds), dtype="Int64"), "n": n, "a": kinds.astype(np.int64), "b": np.zeros(len(kinds), np.int64), "shingle": True, "sketch": None, "fine": None})
+            return pd.DataFrame({"doc": pd.Series([None] * len(kinds), dtype="Int64"), "n": n, "a": kinds.astype(np.int64), "b": np.zeros(len(kinds), np.int64), "shingle": True, "sketch": None, "fine": None, "odd": None})
 
         for batch in batches:
             rows = []
             ids = batch["doc"].tolist()
             for i, s in shingle_sets(_texts(batch), size):
                 a, b = set_hash(s) if len(s) else (0, 0)
-                rows.append((ids[i], len(s), a, b, False, sketch(s) if len(s) else None, fine_sketch(s)))
+                rows.append((ids[i], len(s), a, b, False, sketch(s) if len(s) else None, fine_sketch(s), odd_sketch(s) if len(s) else None))
                 if a not in seen:
                     seen[a] = s
                     held += len(s)
@@ -171,11 +175,11 @@ def described(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
                     yield often()
                     seen.clear()
                     held = 0
-            out = pd.DataFrame(rows, columns=["doc", "n", "a", "b", "shingle", "sketch", "fine"])
+            out = pd.DataFrame(rows, columns=["doc", "n", "a", "b", "shingle", "sketch", "fine", "odd"])
             yield out.astype({"doc": "Int64", "n": "int64", "a": "int64", "b": "int64", "shingle": "bool"})
         yield often()
 
-    both = cut(docs.mapInPandas(describe, "doc bigint, n bigint, a bigint, b bigint, shingle boolean, sketch binary, fine binary"))
+    both = cut(docs.mapInPandas(describe, "doc bigint, n bigint, a bigint, b bigint, shingle boolean, sketch binary, fine binary, odd array<bigint>"))
     return both.where("NOT shingle").drop("shingle"), both.where("shingle").select("a", "n")
 
 
@@ -319,6 +323,8 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, per
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links) and n_links (of its class)."""
+    from .chosen_path import settled, small_nodes
+
     spark: SparkSession = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc"), F.col(text).alias("text"))
     rows, often = described(docs, size)
@@ -328,7 +334,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", siz
     real = docs.where(F.col("doc").isNotNull())
     shingles = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     entry = cut(filed(real, frequent, size, percent, max(8, shingles // (4 * GROUP_TOKENS))))
-    classes = cut(rows.where("n > 0 AND doc IS NOT NULL").groupBy("a").agg(F.min("doc").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.first("fine").alias("fine")))
+    classes = cut(rows.where("n > 0 AND doc IS NOT NULL").groupBy("a").agg(F.min("doc").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.first("fine").alias("fine"), F.min("b").alias("b"), F.first("odd").alias("odd")))
     release(spark)
 
     # First each set against its hubs.
@@ -339,15 +345,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", siz
     # Then what still lies in different components of one entry.
     named = entry.select("entry", "set").join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("component", "set")).drop("component")
     parts = named.groupBy("entry", "label").agg(F.count("*").alias("c"))
-    main = parts.groupBy("entry").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    open_rows = cut(named.join(main, "entry"))
+    main = parts.groupBy("entry").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("most"), F.count("*").alias("labels"))
+    main = cut(main.where("labels > 1").select(F.col("entry").alias("node"), "main", "m", (F.col("m") - F.col("most")).alias("others")))
+    open_rows = named.join(main.select(F.col("node").alias("entry")), "entry", "left_semi").select(F.col("entry").alias("node"), F.col("set").alias("sid"), "label")
+    open_rows = cut(open_rows.join(classes.select(F.col("a").alias("sid"), "n", F.col("odd").alias("sketch")), "sid").select("node", "sid", "n", "sketch", "label"))
     release(spark)
-    minor = open_rows.where("label <> main").select("entry", F.col("set").alias("x"), F.col("label").alias("lx"))
-    other = open_rows.select("entry", F.col("set").alias("y"), F.col("label").alias("ly"), "main")
-    # Two sets outside the main component meet once.
-    across = minor.join(other, "entry").where((F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("main")) | (F.col("x") < F.col("y"))))
-    across = across.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().join(hubs, ["x", "y"], "left_anti")
-    links = links.unionByName(_links(_possible(across, classes, percent), real, classes, size, percent))
+    judged = cut(hubs.join(links.withColumn("linked", F.lit(True)), ["x", "y"], "left").select("x", "y", F.coalesce("linked", F.lit(False)).alias("linked")))
+    links = settled(small_nodes(open_rows, main), [judged], real, classes.select(F.col("a").alias("sid"), F.col("rep").alias("doc"), "a", "b"), size, percent)
 
     reps = classes.select("a", "rep")
     edges = links.join(reps.withColumnsRenamed({"a": "x", "rep": "rx"}), "x").join(reps.withColumnsRenamed({"a": "y", "rep": "ry"}), "y")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import graph, jaccard, lines, substrings
+from gaugeworks.llm import chosen_path, graph, jaccard, lines, substrings
 
 from . import brute
 
@@ -62,8 +62,11 @@ def test_near_groups(frame, texts, monkeypatch, frequent):
     assert got == want and sum(k != v[1] for k, v in want.items()) > 5
 
 
-def test_near_chain_and_large_group(frame, monkeypatch):
+@pytest.mark.parametrize("limit, rows", [(2048, 4096), (6, 4)])
+def test_near_chain_and_large_group(frame, monkeypatch, limit, rows):
     monkeypatch.setattr(jaccard, "FREQUENT_FROM", 2)
+    monkeypatch.setattr(chosen_path, "LIMIT", limit)  # with small limits entries are dealt in blocks and tiles
+    monkeypatch.setattr(chosen_path, "ROWS", rows)
     base = [f"w{i}" for i in range(300)]
     chain = []
     for i in range(40):  # neighbours are near, the ends are not
