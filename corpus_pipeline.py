@@ -1,7 +1,8 @@
 """Corpus pipeline: the stages from raw documents to packed sequences.
 
 Each stage takes and returns documents (the last one returns packed pieces); between stages the documents are written
-as Parquet and read again.  Rows with a null id pass the dedup stages unchanged; an empty table passes all stages.
+as Parquet and read again.  Rows with a null id pass the dedup stages unchanged; an empty table passes all stages; further
+columns, also those named like a stage's working columns, come through with their values.
 """
 
 from __future__ import annotations
@@ -25,6 +26,14 @@ def _with_text(docs: DataFrame, text, columns: list[str]) -> DataFrame:
     return out.select(*columns)
 
 
+def _apart(docs: DataFrame, working: str) -> tuple[DataFrame, dict[str, str]]:
+    """Documents whose own column of the working column's name stands aside, and how to name it back."""
+    if working not in docs.columns:
+        return docs, {}
+    aside = f"_own_{working}"
+    return docs.withColumnRenamed(working, aside), {aside: working}
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, and texts no language explains better than the others together, go."""
     found = with_language(spark, docs, docs)
@@ -33,8 +42,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three or more documents hold stay in the last of them only."""
+    docs, back = _apart(docs, "keep")
     marked = lines.with_keep(docs, lines.keep_bitmaps(docs))
-    return _with_text(marked, F.when(F.col("text").isNotNull(), lines.kept_text(F.col("text"), F.col("keep"))), docs.columns)
+    return _with_text(marked, F.when(F.col("text").isNotNull(), lines.kept_text(F.col("text"), F.col("keep"))), docs.columns).withColumnsRenamed(back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +56,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words covered by windows that an earlier document holds go; untouched texts stay as they are."""
+    docs, back = _apart(docs, "spans")
     marked = substrings.with_spans(docs, substrings.repeated_spans(docs))
-    return _with_text(marked, F.when(F.col("spans").isNull(), F.col("text")).otherwise(substrings.kept(F.col("text"), F.col("spans"))["kept"]), docs.columns)
+    out = _with_text(marked, F.when(F.col("spans").isNull(), F.col("text")).otherwise(substrings.kept(F.col("text"), F.col("spans"))["kept"]), docs.columns)
+    return out.withColumnsRenamed(back)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
