@@ -19,7 +19,7 @@ def test_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "ngram_jaccard_join", "substring_dedup", "best_fit_packing"]
     start = spark.read.parquet(f"{FOLDER}/documents.parquet")
     junk = spark.createDataFrame([(-1, None, None, None, None), (-2, "!!! 123", "en", "s", 7), (None, None, None, None, None)], start.schema)
-    docs = cut(start.unionByName(junk).withColumn("spans", F.lit("mine")))
+    docs = cut(start.unionByName(junk).withColumns({"spans": F.lit("mine"), "keep": F.lit("ours")}))
     columns = docs.columns
     language, lines, near, passages, packing = (f for _, f in corpus_pipeline.STAGES)
 
@@ -36,6 +36,7 @@ def test_stages(spark):
     kept = cut(passages(spark, kept, FOLDER))
     want = {k: t if len(w.split()) == n else w for (k, t), (n, w) in zip(before, brute.windows_removed(before).values(), strict=True)}
     assert kept.columns == columns and dict(pairs(kept)) == want
+    assert kept.where("spans <> 'mine' OR keep <> 'ours'").count() == 0
     packed = packing(spark, kept, FOLDER).collect()
     assert {r["doc_id"] for r in packed} == set(want) and check_packing(packed) > 0
 
