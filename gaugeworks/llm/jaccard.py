@@ -42,7 +42,7 @@ PAIRS_FROM = 16
 #: A shingle is frequent from so many sets on, as far as the list goes; its length bounds what is sent to the tasks.
 FREQUENT_FROM = 24
 FREQUENT_MOST = 1 << 19
-GROUP_TOKENS = 1 << 21
+GROUP_TOKENS = 1 << 20
 #: Remainders that shingles are counted by; two sets share at most the sum of the smaller counts.
 REMAINDERS = 256
 #: Bits of the map of wanted ids, and of one of its rows; a fuller map lets more texts pass, the join after it none.
@@ -116,10 +116,6 @@ def entries(s: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarr
     return np.unique(np.concatenate(singles)), np.concatenate([*pairs, np.empty(0, np.uint64)])
 
 
-def _texts(b: pd.DataFrame) -> list[str | None]:
-    return [t if isinstance(t, str) else None for t in b["text"]]
-
-
 def sketch(s: np.ndarray) -> bytes:
     """Counts of shingles by remainder, at most 255 each."""
     return np.minimum(np.bincount((s % np.uint64(REMAINDERS)).astype(np.int64), minlength=REMAINDERS), 255).astype(np.uint8).tobytes()
@@ -151,7 +147,7 @@ def most_shared(x: bytes, y: bytes) -> int:
 def described(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """One row per document (doc, n, a, b: size and hash of its set; its sketches) and shingles that some task met in several sets."""
 
-    from .chosen_path import odd_sketch  # that module builds on this one
+    from .chosen_path import odd_sketch, sets_of  # that module builds on this one
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[int, np.ndarray] = {}
@@ -165,7 +161,7 @@ def described(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             rows = []
             ids = batch["doc"].tolist()
-            for i, s in shingle_sets(_texts(batch), size):
+            for i, s in sets_of(batch["text"], size):
                 a, b = set_hash(s) if len(s) else (0, 0)
                 rows.append((ids[i], len(s), a, b, False, sketch(s) if len(s) else None, fine_sketch(s), odd_sketch(s) if len(s) else None))
                 if a not in seen:
@@ -185,6 +181,7 @@ def described(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
 
 def filed(docs: DataFrame, frequent, size: int, percent: int, shards: int) -> DataFrame:
     """Entries of two or more different sets: entry, set, hub (another set of the entry, or itself for its first set)."""
+    from .chosen_path import sets_of
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, sets, held, seen = [], [], 0, set()
@@ -202,7 +199,7 @@ def filed(docs: DataFrame, frequent, size: int, percent: int, shards: int) -> Da
             return pd.DataFrame(rows, columns=["shard", "keys", "sets", "hubs", "leads"])
 
         for batch in batches:
-            for _, s in shingle_sets(_texts(batch), size):
+            for _, s in sets_of(batch["text"], size):
                 if len(s):
                     a = set_hash(s)[0]
                     if a in seen:
@@ -295,13 +292,15 @@ def _of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs that link: whole sets compared."""
+    from .chosen_path import sets_of
+
     needed = pairs.select(F.col("x").alias("a")).unionAll(pairs.select(F.col("y").alias("a"))).distinct()
     needed = needed.join(classes, "a").select("a", F.col("rep").alias("doc"))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             wanted = batch["a"].tolist()
-            out = [(wanted[i], s.tobytes()) for i, s in shingle_sets(_texts(batch), size) if len(s) and set_hash(s)[0] == wanted[i]]
+            out = [(wanted[i], s.tobytes()) for i, s in sets_of(batch["text"], size) if len(s) and set_hash(s)[0] == wanted[i]]
             yield pd.DataFrame(out, columns=["a", "shingles"])
 
     @F.pandas_udf("boolean")
@@ -333,7 +332,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", siz
 
     real = docs.where(F.col("doc").isNotNull())
     shingles = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    entry = cut(filed(real, frequent, size, percent, max(8, shingles // (4 * GROUP_TOKENS))))
+    entry = cut(filed(real, frequent, size, percent, max(8, shingles // (8 * GROUP_TOKENS))))
     classes = cut(rows.where("n > 0 AND doc IS NOT NULL").groupBy("a").agg(F.min("doc").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.first("fine").alias("fine"), F.min("b").alias("b"), F.first("odd").alias("odd")))
     release(spark)
 
