@@ -13,8 +13,8 @@ Each set is first held against its hubs: a pair is dropped when its sizes or its
 link out, first by few remainders, then by about as many as the set has shingles; for what is left the whole sets of 64-bit
 shingle hashes are compared.  The sets of an entry that are still in different components are compared within one task
 by odd sketches, an entry of many sets in parts; what passes is proposed as a spanning forest, most alike first, so an entry
-gives fewer pairs than it has sets, and is confirmed on whole sets.  Where a proposal fails, the entry's other pairs across
-components are confirmed too.
+gives fewer pairs than it has sets, and is confirmed on whole sets.  What links, or by finer sketches may link where a
+proposal failed, forms groups; inside a group all sets are compared on whole within tasks, which counts every link.
 Only texts of such sets are dealt out again; a bitmap of fixed size keeps most others from being shuffled.
 
 Cases: texts without words, null or empty, have an empty set, link with nothing and are their own component; a text with
@@ -290,8 +290,8 @@ def _of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return sifted.select("doc", "text").join(wanted, "doc")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs that link: whole sets compared."""
+def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs that link: whole sets compared; and these sets (sid, n, held)."""
     from .chosen_path import sets_of
 
     needed = pairs.select(F.col("x").alias("a")).unionAll(pairs.select(F.col("y").alias("a"))).distinct()
@@ -300,28 +300,27 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, per
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             wanted = batch["a"].tolist()
-            out = [(wanted[i], s.tobytes()) for i, s in sets_of(batch["text"], size) if len(s) and set_hash(s)[0] == wanted[i]]
-            yield pd.DataFrame(out, columns=["a", "shingles"])
+            out = [(wanted[i], len(s), s.view(np.int64)) for i, s in sets_of(batch["text"], size) if len(s) and set_hash(s)[0] == wanted[i]]
+            yield pd.DataFrame(out, columns=["sid", "n", "held"])
 
     @F.pandas_udf("boolean")
     def links(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
         for p, q in zip(x, y, strict=True):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
             both = len(np.intersect1d(p, q, assume_unique=True))
             out.append(100 * both >= percent * (len(p) + len(q) - both))
         return pd.Series(out, dtype=bool)
 
-    sets = cut(_of(docs, needed).mapInPandas(hashed, "a bigint, shingles binary"))
+    sets = cut(_of(docs, needed).mapInPandas(hashed, "sid bigint, n bigint, held array<bigint>"))
     release(docs.sparkSession)
-    left, right = sets.withColumnsRenamed({"a": "x", "shingles": "sx"}), sets.withColumnsRenamed({"a": "y", "shingles": "sy"})
+    left, right = (sets.select(F.col("sid").alias(k), F.col("held").alias(f"s{k}")) for k in "xy")
     found = cut(pairs.join(left, "x").join(right, "y").where(links("sx", "sy")).select("x", "y").distinct())
     release(docs.sparkSession)
-    return found
+    return found, sets
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (smallest id reachable by links) and n_links (of its class)."""
+    """One row per document: id, n_shingles, component_id (smallest id reachable by links) and n_links (all links of its class to others)."""
     from .chosen_path import settled, small_nodes
 
     spark: SparkSession = docs.sparkSession
@@ -338,7 +337,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", siz
 
     # First each set against its hubs.
     hubs = entry.where("set <> hub").select(F.least("set", "hub").alias("x"), F.greatest("set", "hub").alias("y")).distinct()
-    links = _links(_possible(hubs, classes, percent), real, classes, size, percent)
+    links, sets = _links(_possible(hubs, classes, percent), real, classes, size, percent)
     labels = components(links, "x", "y")
 
     # Then what still lies in different components of one entry.
@@ -350,12 +349,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", siz
     open_rows = cut(open_rows.join(classes.select(F.col("a").alias("sid"), "n", F.col("odd").alias("sketch")), "sid").select("node", "sid", "n", "sketch", "label"))
     release(spark)
     judged = cut(hubs.join(links.withColumn("linked", F.lit(True)), ["x", "y"], "left").select("x", "y", F.coalesce("linked", F.lit(False)).alias("linked")))
-    links = settled(small_nodes(open_rows, main), [judged], real, classes.select(F.col("a").alias("sid"), F.col("rep").alias("doc"), "a", "b"), size, percent)
+    named = classes.select(F.col("a").alias("sid"), F.col("rep").alias("doc"), "a", "b")
+    links, counted = settled(small_nodes(open_rows, main), [judged], real, named, size, percent, sets, count=True)
 
     reps = classes.select("a", "rep")
     edges = links.join(reps.withColumnsRenamed({"a": "x", "rep": "rx"}), "x").join(reps.withColumnsRenamed({"a": "y", "rep": "ry"}), "y")
     found = components(edges, "rx", "ry")
-    degrees = links.select(F.col("x").alias("a")).unionAll(links.select(F.col("y").alias("a"))).groupBy("a").agg(F.count("*").alias("n_links"))
+    degrees = counted.select(F.col("sid").alias("a"), F.col("n").alias("n_links"))
     classes = classes.join(found, classes["rep"] == found["node"], "left").select("a", F.coalesce("component", "rep").alias("component"))
     classes = classes.join(degrees, "a", "left")
     own = F.when(F.col("n") > 0, F.col("component"))

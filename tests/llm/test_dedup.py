@@ -132,3 +132,34 @@ def test_wanted_texts_come_whole(spark, monkeypatch):
         monkeypatch.setattr(jaccard, "MAP_BITS", bits)
         assert sorted(r["doc"] for r in jaccard._of(docs, wanted).collect()) == list(range(0, 5000, 7))
     assert jaccard._of(docs, wanted.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("part", [4096, 5])
+def test_every_link_counts(frame, monkeypatch, part):
+    """A crowd of near copies, pairs just at and below the limit, and a copy: links are counted between all sets of a class."""
+    monkeypatch.setattr(chosen_path, "PART_ROWS", part)
+    monkeypatch.setattr(chosen_path, "_STRIP", 3)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(24):
+        w = base[:]
+        for i in rng.choice(120, 1 + k // 6, replace=False):
+            w[i] = f"c{k}x{i}"
+        rows.append((k + 1, " ".join(w)))
+    rows += [(50, rows[3][1]), (51, "alone " + " ".join(f"z{i}" for i in range(9))), (52, None)]
+    sets = {k: brute.shingles(t) for k, t in rows}
+    kinds = set(sets.values()) - {frozenset()}
+    near = lambda s, o: s != o and 100 * len(s & o) >= 75 * len(s | o)
+    want = {k: (v[1], sum(near(sets[k], o) for o in kinds)) for k, v in brute.groups(rows).items()}
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard.near_groups(frame(rows)).collect()}
+    assert got == want and max(n for _, n in want.values()) > 10 and len({n for _, n in want.values()}) > 4
+
+
+def test_proposals_are_no_more_than_rows(spark):
+    """Sets that pass the sketches with many others give a forest, and rows that passed, instead of all pairs."""
+    sketch = [0] * 8
+    rows = [(node, sid, 100, sketch, sid) for node in (1, 2) for sid in range(60)] + [(3, 5, 100, sketch, 9), (3, 6, 100, sketch, 9), (3, 7, 100, sketch, 8)]
+    got = chosen_path._nodes_compared(spark.createDataFrame(rows, "node long, sid long, n long, sketch array<bigint>, label long"), 75).collect()
+    assert len(got) < len(rows) and {r["node"] for r in got if r["y"] is not None} == {1, 2, 3}
+    assert {i for r in got if r["node"] == 3 for i in (r["x"], r["y"])} - {None} == {5, 6, 7}
