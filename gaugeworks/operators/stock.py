@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import to_litres, to_num, unit_factor
+from .lineage import cut
+from .series import is_small
 
 # Fixed value: location id of stock that is only booked, not present.
 MISSING_LOCATION = 527895
@@ -89,11 +91,13 @@ def order_volume(orders: DataFrame, listed: DataFrame, code: str = "cas", size:
 def search_any(df: DataFrame, groups: DataFrame, item: list[str], codes: str) -> DataFrame:
     """Items holding at least one code of a hazard group, once per group.
 
-    Codes and groups meet on the single code, an equi-join; ``groups`` has grp and a code array ``codes``.
+    Codes and groups meet on the single code, an equi-join; ``groups`` has grp and a code array ``codes``.  Items are
+    dealt out before their codes are unrolled, so what a task holds follows the number of tasks, not the table.
     """
-    per_code = groups.select("grp", F.explode("codes").alias("_code")).distinct()
-    held = df.select(*item, F.explode(F.array_distinct(codes)).alias("_code"))
-    return held.join(per_code, "_code").select("grp", *item).distinct()
+    per_code = cut(groups.select("grp", F.explode("codes").alias("_code")).distinct())
+    held = df.select(*item, F.array_distinct(codes).alias("_codes")).repartition(*item)
+    held = held.select(*item, F.explode("_codes").alias("_code"))
+    return held.join(F.broadcast(per_code) if is_small(per_code) else per_code, "_code").select("grp", *item).distinct()
 
 
 def lookup(containers: DataFrame, column: str, wanted: DataFrame, location: str = "location") -> DataFrame:

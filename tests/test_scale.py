@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeworks.operators import asof, clusters, lineage, sequences, stats
+from gaugeworks.operators import asof, clusters, lineage, sequences, stats, stock
 from gaugeworks.operators.quantiles import exact_quantiles, from_ordered_bits, ordered_bits
 from gaugeworks.operators.series import ROWS_PER_CHUNK_CONF, Series
 from gaugeworks.plans import marts
@@ -218,6 +218,16 @@ def test_joins_need_no_nested_loops(spark):
         assert "NestedLoop" not in plan and "CartesianProduct" not in plan, name
 
 
+def test_hazard_search_deals_items_out_before_their_codes(spark):
+    """Items are never sent to every task, nor unrolled in the few tasks that read them."""
+    items = spark.createDataFrame([(1, ["a", "b"]), (1, ["b"]), (2, None), (None, ["a"]), (3, ["c", "a", "a"])], "item long, codes array<string>")
+    groups = spark.createDataFrame([("g", ["a", "b"]), ("h", ["b"]), (None, ["c"])], "grp string, codes array<string>")
+    found = stock.search_any(items, groups, ["item"], "codes")
+    assert sorted(map(str, found.collect())) == sorted(["Row(grp='g', item=1)", "Row(grp='h', item=1)", "Row(grp='g', item=None)", "Row(grp='g', item=3)", "Row(grp=None, item=3)"])
+    plan = plan_of(found)
+    assert "hashpartitioning(item" in plan and "hashpartitioning(grp" not in plan and "BuildRight" in plan and "BuildLeft" not in plan
+
+
 def test_chunked_windows_have_the_chunk_in_their_key(skewed):
     s = Series.of(skewed, ["user_id"], "ts", ["event_id"]).split(60)
     plan = plan_of(s.scan(prev={"p": F.col("v")}, sums={"n": F.lit(1)}).rows())
