@@ -8,6 +8,7 @@ one watermark delay and one micro-batch.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -30,16 +31,15 @@ def in_event_order(df: DataFrame, key: str, ts: str, tie: list[str], values: lis
     kinds = dict(df.dtypes)
     fields = ["_us", *tie, *values]
     kinds["_us"] = "bigint"
-    n = len(fields)
     made = [c.split()[0] for c in out.split(", ")]
     rows = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
     rows = rows.select(key, micros(F.col(ts)).alias("_us"), *tie, *values, F.col(ts).cast("timestamp").alias("_event_time")).withWatermark("_event_time", delay)
-    state_schema = ", ".join([*(f"_w{i} array<{kinds[c]}>" for i, c in enumerate(fields)), memory, "_done bigint"])
+    # The waiting rows are one value: as columns of arrays, each batch would convert every field of every row twice.
+    state_schema = ", ".join(["_waiting binary", memory, "_done bigint"])
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else (*[[] for _ in fields], *start, 0)
-        waiting = list(zip(*held[:n], strict=True))
-        known, done = tuple(held[n:-1]), held[-1]
+        packed, *known, done = state.get if state.exists else (None, *start, 0)
+        waiting, known = pickle.loads(packed) if packed else [], tuple(known)
         for f in frames:
             if len(f):
                 waiting += [r for r in zip(*(f[c].tolist() for c in fields), strict=True) if r[0] >= done]
@@ -49,11 +49,11 @@ def in_event_order(df: DataFrame, key: str, ts: str, tie: list[str], values: lis
         found, known, until = step(k[0], waiting[:due], known)
         waiting = waiting[due:]
         if waiting or until >= mark * 1000:
-            parts = [list(c) for c in zip(*waiting, strict=True)] or [[] for _ in fields]
-            state.update((*parts, *known, max(done, mark * 1000)))
+            state.update((pickle.dumps(waiting) if waiting else None, *known, max(done, mark * 1000)))
             state.setTimeoutTimestamp(max((waiting[0][0] if waiting else until) // 1000 + 1, mark + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(found, columns=made)
+        if found:
+            yield pd.DataFrame(found, columns=made)
 
     return rows.groupBy(key).applyInPandasWithState(run, out, state_schema, "append", GroupStateTimeout.EventTimeTimeout)

@@ -233,3 +233,10 @@ def test_breaker_state_lasts_as_long_as_its_failures(spark, source, tmp_path):
     stream = source.stream().withColumn("ok", F.lit(False))
     got, keys = run_to_end(health.circuit_breaker(stream, "sensor", "ts", "id", "ok", delay="1 minute"), "kept", tmp_path)
     assert sorted((r.id, r.outcome) for r in got if r.sensor == 1) == [(0, "failed"), (1, "failed")] and keys == 2
+
+
+def test_waiting_rows_are_one_value_of_the_state(source):
+    """Rows that wait are kept as one value, not as a column of arrays for each of their fields."""
+    df = health.health_alerts(source.stream(), "sensor", "ts", "id", "v", "light", LIMITS, delay="2 hours")
+    plan = df._jdf.queryExecution().logical().toString()
+    assert "_waiting" in plan and "ArrayType" not in plan
