@@ -3,10 +3,10 @@
 A window of ``length`` words belongs to the shard of its anchor, the least hash of its word k-grams, so equal windows meet in
 one shard and windows in a row that share their anchor travel as one segment of words.  First, blocks of sorted
 anchors find those that two or more documents hold (copies inside a block count there, one of them goes on); only
-segments of such anchors are read out.  Equal segments shrink to one with its smallest document.  Each shard builds an
-FM-index over its segments (words as symbols, wavelet matrix over the transform), streams the windows of its segments
-through backward search, and takes the smallest document over each suffix range.  Anchors with more than ``HOT`` different
-segments are split into single windows, dealt by their own words, so no anchor fills a shard.
+segments of such anchors are read out: their places, and packed by shard their words with the smallest and largest document,
+equal segments of a block once.  Each shard builds an FM-index over its different segments (words as symbols, wavelet matrix over the transform), streams the windows of its segments
+through backward search, and takes the smallest document over each suffix range.  Segments of anchors
+in more than ``HOT`` documents are split into single windows, dealt by their own words, so no anchor fills a shard.
 Results go back to the documents as spans of words.  Words are compared as they are; hashes only deal out work.
 
 Cases: null and empty texts have no words; a window counts once however often it stands in a document, repeats inside one
@@ -17,10 +17,12 @@ gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,12 @@ from .ngram_lm import _gather, _spread
 from .scratch import release
 
 GRAM = 6
+#: Documents from which on an anchor's segments are split into windows.
 HOT = 20_000
-BLOCK = 1 << 20
+BLOCK = 1 << 19
+#: Bytes of different segments that a task holds before it packs them, and of texts hashed at a time.
+HELD = 1 << 24
+PIECE = 1 << 20
 SHARD_SEGMENTS = 100_000
 SEARCH = 1 << 17
 
@@ -42,7 +48,7 @@ def anchored(texts: list[str | None], length: int) -> Iterator[tuple[int, np.nda
     """Segments of each text: number of the text, anchor, first window and last window of each segment."""
     gram = min(GRAM, length)
     wide = length - gram + 1
-    for lo, hashes, counts in words.grouped(texts, lower=False):
+    for lo, hashes, counts in words.grouped(texts, lower=False, size=PIECE):
         n = len(hashes) - length + 1
         if n <= 0:
             continue
@@ -140,11 +146,35 @@ def _by_doc(docs: np.ndarray, anchors: np.ndarray) -> Iterator[tuple[int, bytes]
         yield int(docs[a]), anchors[a:b].tobytes()
 
 
-def segments(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
-    """Segments of shared anchors: doc, t (hash of the text), at (first word), anchor, words (bytes joined by one space)."""
-    lists = anchors.groupBy("doc").agg(F.collect_list("anchor").alias("wanted"))
+def segments(docs: DataFrame, lists: DataFrame, hot, length: int, shards: int) -> DataFrame:
+    """Segments of the wanted anchors of each document, in two kinds of rows.
+
+    Places: doc, t (hash of the text), at (first word of each segment), ka and kb (hash of its words).  Words, a row for each
+    shard and block of segments: shard, keys (the same hashes), words (packed, ``raw`` bytes; the words of a segment are joined
+    by one space), low and high (smallest and largest document of the block); equal segments of a block are held once.
+    """
+    columns = ["doc", "t", "at", "ka", "kb", "shard", "keys", "words", "raw", "low", "high"]
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=columns).astype({"doc": "Int64", "t": "Int64", "shard": "Int64", "raw": "Int64"})
+
+    def packed(held: dict[bytes, list]) -> list[tuple]:
+        kinds = list(held)
+        deal, low, high = (np.array([v[k] for v in held.values()], kind) for k, kind in ((1, np.uint64), (2, np.int64), (3, np.int64)))
+        shard = (deal % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((deal, shard))  # segments of an anchor side by side pack well
+        cuts = np.flatnonzero(np.r_[True, shard[order][1:] != shard[order][:-1], True])
+        out = []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            mine = order[lo:hi]
+            chosen = [kinds[k] for k in mine.tolist()]
+            raw = b"\n".join(chosen)
+            keys = b"".join(held[w][0] for w in chosen)
+            out.append((None, None, None, None, None, int(shard[mine[0]]), keys, pa.compress(raw, codec="zstd", asbytes=True), len(raw), low[mine].tobytes(), high[mine].tobytes()))
+        return out
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size, often = {}, 0, hot.value
         for batch in batches:
             texts, out = _texts(batch), []
             names, marks, lists = batch["doc"].tolist(), batch["t"].tolist(), batch["wanted"].tolist()
@@ -153,20 +183,55 @@ def segments(docs: DataFrame, anchors: DataFrame, length: int) -> DataFrame:
                 mine = np.flatnonzero(np.isin(anchor, wanted))
                 if not len(mine):
                     continue
-                parts = words.utf8(texts[i]).split()
-                for j, a, z in zip(mine.tolist(), first[mine].tolist(), last[mine].tolist(), strict=True):
-                    out.append((names[i], marks[i], a, int(anchor[j].astype(np.int64)), b" ".join(parts[a : z + length])))
-                if len(out) > 50_000:
-                    yield pd.DataFrame(out, columns=["doc", "t", "at", "anchor", "words"])
+                parts, doc = words.utf8(texts[i]).split(), names[i]
+                ranges = []
+                for value, busy, a, z in zip(anchor[mine].tolist(), np.isin(anchor[mine], often).tolist(), first[mine].tolist(), last[mine].tolist(), strict=True):
+                    ranges += [(None, k, k) for k in range(a, z + 1)] if busy else [(value, a, z)]
+                keys = []
+                for value, a, z in ranges:
+                    w = b" ".join(parts[a : z + length])
+                    known = held.get(w)
+                    if known is None:
+                        key = hashlib.blake2b(w, digest_size=16).digest()
+                        known = held[w] = [key, int.from_bytes(key[:8], "little") if value is None else value, doc, doc]
+                        size += len(w)
+                    else:
+                        known[2], known[3] = min(known[2], doc), max(known[3], doc)
+                    keys.append(known[0])
+                both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
+                out.append((doc, marks[i], np.array([r[1] for r in ranges], np.int32), both[:, 0], both[:, 1], None, None, None, None, None, None))
+                if size >= HELD:
+                    out += packed(held)
+                    held, size = {}, 0
+                if len(out) >= 500:
+                    yield frame(out)
                     out = []
-            yield pd.DataFrame(out, columns=["doc", "t", "at", "anchor", "words"])
-
-    return docs.join(lists, "doc").mapInPandas(read, "doc bigint, t bigint, at int, anchor bigint, words binary")
-
-
-def _key() -> list[Column]:
-    """128-bit hash that stands for the words of a segment."""
-    return [F.xxhash64("words").alias("ka"), F.xxhash64(F.lit(7), "words").alias("kb")]
+            yield frame(out)
+        if held:
+            yield frame(packed(held))
+
+    kinds = "doc bigint, t bigint, at array<int>, ka array<bigint>, kb array<bigint>, shard bigint, keys binary, words binary, raw bigint, low binary, high binary"
+    return docs.join(lists, "doc").mapInPandas(read, kinds)
+
+
+def _unpacked(rows: pd.DataFrame) -> pd.DataFrame:
+    """Different segments of packed rows: words, ka, kb, low, high."""
+    parts = [pa.decompress(w, decompressed_size=int(n), codec="zstd", asbytes=True).split(b"\n") for w, n in zip(rows["words"], rows["raw"], strict=True)]
+    parts = [w for p in parts for w in p]
+    low, high = (np.frombuffer(b"".join(rows[c]), np.int64) for c in ("low", "high"))
+    keys = np.frombuffer(b"".join(rows["keys"]), np.int64).reshape(-1, 2)
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    keys = keys[order]
+    starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+    return pd.DataFrame(
+        {
+            "words": [parts[k] for k in order[starts].tolist()],
+            "ka": keys[starts, 0],
+            "kb": keys[starts, 1],
+            "low": np.minimum.reduceat(low[order], starts),
+            "high": np.maximum.reduceat(high[order], starts),
+        }
+    )
 
 
 def first_docs(rows: pd.DataFrame, length: int) -> pd.DataFrame:
@@ -197,42 +262,35 @@ def first_docs(rows: pd.DataFrame, length: int) -> pd.DataFrame:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = 13) -> DataFrame:
     """Spans of words that windows of smaller documents cover: _ss_doc, _ss_t (hash of the text), spans (array of from, to)."""
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text).alias("text"), F.xxhash64(text).alias("t")).where("doc IS NOT NULL AND text IS NOT NULL")
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    found = segments(docs, shared_anchors(docs.select("doc", "text"), length, max(8, size // (16 << 20))), length)
-    found = cut(found.select("*", *_key()))
-    release(docs.sparkSession)
-
-    distinct = cut(found.groupBy("anchor", "words").agg(F.min("doc").alias("low"), F.max("doc").alias("high")))
-    release(docs.sparkSession)
-    hot = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("anchor", F.lit(True).alias("hot"))
-    hot = cut(hot)
-    shards = max(8, distinct.count() // SHARD_SEGMENTS)
-    marked = distinct.join(hot, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-
-    parts = F.split(F.col("words").cast("string"), " ", -1)
-    single = F.transform(F.sequence(F.lit(1), F.size("p") - length + 1), lambda i: F.array_join(F.slice("p", i, length), " ").cast("binary"))
-    whole = marked.where("NOT hot").select("words", "low", "high", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
-    split = marked.where("hot").withColumn("p", parts).select(F.explode(single).alias("words"), "low", "high").groupBy("words").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    split = split.withColumn("shard", F.pmod(F.xxhash64("words"), F.lit(shards)))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    anchors = shared_anchors(docs.select("doc", "text"), length, max(8, total // (16 << 20)))
+    lists = cut(anchors.groupBy("doc").agg(F.collect_list("anchor").alias("wanted")))
+    release(spark)
+    # An anchor is hot in more than HOT documents, so what is sent to the tasks is a small part of the table.
+    often = lists.select(F.explode(F.array_distinct("wanted")).alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    hot = spark.sparkContext.broadcast(often.select("anchor").toPandas()["anchor"].to_numpy(np.int64).astype(np.uint64))
+    n_segments = lists.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0]
+    found = cut(segments(docs, lists, hot, length, max(8, n_segments // SHARD_SEGMENTS)))
+    release(spark)
 
     def search(b: pd.DataFrame) -> pd.DataFrame:
-        out = first_docs(b, length)
+        rows = _unpacked(b)
+        out = first_docs(rows, length)
         # A window whose segment one document alone holds, which is also its first, removes nothing.
-        useful = [bool((f < h).any()) for f, h in zip(out["firsts"], b["high"], strict=True)]
+        useful = [bool((f < h).any()) for f, h in zip(out["firsts"], rows["high"], strict=True)]
         return out[useful]
 
-    keyed = whole.unionByName(split).select("*", *_key())
-    firsts = cut(keyed.groupBy("shard").applyInPandas(search, "ka bigint, kb bigint, firsts array<bigint>"))
-    release(docs.sparkSession)
-
-    # Segments of hot anchors look their windows up one by one.
-    placed = found.join(hot, "anchor", "left")
-    plain = placed.where("hot IS NULL").select("doc", "t", "at", "ka", "kb")
-    windows = placed.where("hot").withColumn("p", parts).select("doc", "t", "at", F.posexplode(single).alias("i", "words")).select("doc", "t", (F.col("at") + F.col("i")).alias("at"), *_key())
-    joined = plain.unionByName(windows).join(firsts, ["ka", "kb"]).select("doc", "t", F.posexplode("firsts").alias("i", "first"), "at").where(F.col("first") < F.col("doc"))
-    starts = cut(joined.groupBy("doc", "t").agg(F.array_sort(F.collect_set(F.col("at") + F.col("i"))).alias("starts")))
-    release(docs.sparkSession)
+    packed = found.where("shard IS NOT NULL").select("shard", "keys", "words", "raw", "low", "high")
+    firsts = cut(packed.groupBy("shard").applyInPandas(search, "ka bigint, kb bigint, firsts array<bigint>"))
+    release(spark)
+
+    places = found.where("doc IS NOT NULL").select("doc", "t", F.explode(F.arrays_zip("at", "ka", "kb")).alias("s")).select("doc", "t", "s.*")
+    gone = F.filter(F.transform("firsts", lambda f, i: F.when(f < F.col("doc"), F.col("at") + i)), lambda x: x.isNotNull())
+    joined = places.join(firsts, ["ka", "kb"]).select("doc", "t", gone.alias("gone")).where(F.size("gone") > 0)
+    starts = cut(joined.groupBy("doc", "t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("starts")))
+    release(spark)
 
     @F.pandas_udf("array<struct<from:int,to:int>>")
     def spans(s: pd.Series) -> pd.Series:

@@ -53,6 +53,19 @@ def test_substrings_null_ids_repeats_empty(frame):
     assert judged_words(frame([])) == {}
 
 
+def test_segments_of_copies_are_held_once(spark):
+    """Words of equal segments are written once a block, not once for each document."""
+    text = " ".join(f"word{i}" for i in range(400))
+    docs = spark.createDataFrame([(i, text, 0) for i in range(50)], "doc long, text string, t long").repartition(1)
+    lists = spark.createDataFrame([(i, sorted({a for _, x, _, _ in substrings.anchored([text], 13) for a in x.astype(np.int64).tolist()})) for i in range(50)], "doc long, wanted array<bigint>").repartition(1)
+    found = substrings.segments(docs, lists, spark.sparkContext.broadcast(np.zeros(0, np.uint64)), 13, 4)
+    kept = found.where("shard IS NOT NULL").toPandas()
+    assert found.where("doc IS NOT NULL").count() == 50 and len(kept) <= 4 * spark.sparkContext.defaultParallelism
+    rows = substrings._unpacked(kept)
+    assert set(rows["low"]) == {0} and set(rows["high"]) == {49} and sum(len(w.split()) - 12 for w in rows["words"]) == 388
+    assert kept["words"].map(len).sum() < 50 * len(text) / 4
+
+
 @pytest.mark.parametrize("frequent", [24, 1])
 def test_near_groups(frame, texts, monkeypatch, frequent):
     monkeypatch.setattr(jaccard, "FREQUENT_FROM", frequent)
