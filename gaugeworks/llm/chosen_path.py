@@ -401,34 +401,6 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
     return judged, sets
 
 
-def contracted(links: DataFrame) -> DataFrame:
-    """Links (x, y) with each chain that a task meets drawn to its least end: fewer rows and shorter ways, the same components."""
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parent: dict[int, int] = {}
-
-        def find(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        def stars() -> pd.DataFrame:
-            rows = [(x, find(x)) for x in list(parent)]
-            parent.clear()
-            return pd.DataFrame([r for r in rows if r[0] != r[1]], columns=["x", "y"], dtype="int64")
-
-        for b in batches:
-            for x, y in zip(b["x"].tolist(), b["y"].tolist(), strict=True):
-                p, q = find(x), find(y)
-                parent[max(p, q)] = min(p, q)
-            if len(parent) >= _CELLS:
-                yield stars()
-        yield stars()
-
-    return links.select("x", "y").mapInPandas(draw, "x bigint, y bigint")
-
-
 def _first_pivot(rows: DataFrame, big: DataFrame, percent: int) -> DataFrame:
     """Each row of a large node with the first of the node's pivots that may link it: node, sid, pivot (or null)."""
     whole = F.struct("sid", "n", "sketch")
@@ -522,7 +494,7 @@ def settled(rest: DataFrame, confirmed: list[DataFrame], real: DataFrame, classe
     links = judged.where("linked").select("x", "y")
     likely, counted = None, None
     if not open_rows.isEmpty():
-        labels = components(contracted(links), "x", "y").select(F.col("node").alias("sid"), F.col("component").alias("label"))
+        labels = components(links, "x", "y").select(F.col("node").alias("sid"), F.col("component").alias("label"))
         labelled = cut(open_rows.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")))
         several = labelled.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
         labelled = cut(labelled.join(several, "node", "left_semi"))
@@ -532,7 +504,7 @@ def settled(rest: DataFrame, confirmed: list[DataFrame], real: DataFrame, classe
         release(spark)
     if likely is not None or count:
         near = links if likely is None else links.unionByName(likely)
-        groups = components(contracted(near), "x", "y").select(F.col("node").alias("sid"), F.col("component").alias("grp"))
+        groups = components(near, "x", "y").select(F.col("node").alias("sid"), F.col("component").alias("grp"))
         groups = groups.unionByName(groups.select(F.col("grp").alias("sid"), "grp").distinct())  # the least node names the others
         if not count:
             touched = groups.join(likely.select(F.col("x").alias("sid")).distinct(), "sid", "left_semi").select("grp").distinct()
@@ -588,7 +560,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", siz
         rest = rest.unionByName(s)
     links, _ = settled(rest, confirmed, real, classes, size, percent)
 
-    found = components(contracted(links), "x", "y").select(F.col("node").alias("sid"), "component")
+    found = components(links, "x", "y").select(F.col("node").alias("sid"), "component")
     grouped = classes.select("sid", "a", "b", "doc").join(found, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = grouped.groupBy("component").agg(F.min("doc").alias("least"))
     grouped = grouped.join(least, "component").select("a", "b", "least")

@@ -176,3 +176,17 @@ def test_proposals_are_no_more_than_rows(spark):
     got = chosen_path._nodes_compared(spark.createDataFrame(rows, "node long, sid long, n long, sketch array<bigint>, label long"), 75).collect()
     assert len(got) < len(rows) and {r["node"] for r in got if r["y"] is not None} == {1, 2, 3}
     assert {i for r in got if r["node"] == 3 for i in (r["x"], r["y"])} - {None} == {5, 6, 7}
+
+
+def test_components_take_few_rounds(spark, monkeypatch):
+    """Chains, rings, hubs and repeated edges in any order; each round is one table, so few tables are written."""
+    import random
+
+    tables = []
+    monkeypatch.setattr(graph, "cut", lambda df, real=graph.cut: tables.append(1) or real(df))
+    monkeypatch.setattr(graph, "HELD", 50)
+    edges = [(i, i + 1) for i in range(600)] + [(1000 + i, 1000 + (i + 1) % 50) for i in range(50)] + [(5000, i) for i in range(2000, 2300)] * 2
+    random.Random(2).shuffle(edges)
+    got = dict(tuple(r) for r in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(8), "a", "b").collect())
+    want = dict.fromkeys(range(1, 601), 0) | dict.fromkeys(range(1001, 1050), 1000) | dict.fromkeys([*range(2001, 2300), 5000], 2000)
+    assert got == want and len(tables) <= 10
