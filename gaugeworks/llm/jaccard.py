@@ -11,8 +11,8 @@ Entries meet in blocks of sorted hashes by shard; inside a block the sets of one
 alone goes on to the shard, so a frequent entry costs a shard one row per block.  Entries of two or more sets are kept.
 Each set is first held against its hubs: a pair is dropped when its sizes or its counts of shingles by hash remainder rule a
 link out, first by few remainders, then by about as many as the set has shingles; for what is left the whole sets of 64-bit
-shingle hashes are compared.  The sets of an entry that are still in different components are compared within one task
-by odd sketches, an entry of many sets in parts; what passes is proposed as a spanning forest, most alike first, so an entry
+shingle hashes are compared.  The sets of an entry that are still in different components are compared within one task, once for all
+entries of the same sets, by odd sketches, an entry of many sets in parts; what passes is proposed as a spanning forest, most alike first, so an entry
 gives fewer pairs than it has sets, and is confirmed on whole sets.  What links, or by finer sketches may link where a
 proposal failed, forms groups; inside a group all sets are compared on whole within tasks, which counts every link.
 Only texts of such sets are dealt out again; a bitmap of fixed size keeps most others from being shuffled.
@@ -319,6 +319,25 @@ def _links(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, per
     return found, sets
 
 
+def open_entries(entry: DataFrame, named: DataFrame) -> DataFrame:
+    """Entries of several labels: node, main (the label of most rows), m (rows), others (rows outside main).  ``named`` are the rows of
+    ``entry`` (entry, set) with their label.
+
+    Entries that hold the same sets give the same proposals, so one of them goes on: near copies meet in dozens of entries.
+    Equal are entries of as many rows with equal sums of two 64-bit hashes of the sets, each summed in halves.
+    """
+    parts = named.groupBy("entry", "label").agg(F.count("*").alias("c"))
+    main = parts.groupBy("entry").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("most"), F.count("*").alias("labels"))
+    main = cut(main.where("labels > 1").select("entry", "main", "m", (F.col("m") - F.col("most")).alias("others")))
+    release(entry.sparkSession)
+    hashes = [F.xxhash64("set", F.lit(seed)) for seed in (1, 2)]
+    halves = [half for h in hashes for half in (F.shiftrightunsigned(h, 32), h.bitwiseAND(F.lit((1 << 32) - 1)))]
+    sums = [f"h{i}" for i in range(len(halves))]
+    held = entry.join(main.select("entry"), "entry", "left_semi").groupBy("entry").agg(*[F.sum(h).alias(k) for k, h in zip(sums, halves, strict=True)])
+    one = F.min(F.struct(F.col("entry").alias("node"), "main", "others")).alias("one")
+    return main.join(held, "entry").groupBy("m", *sums).agg(one).select("one.node", "one.main", "m", "one.others")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links) and n_links (all links of its class to others)."""
     from .chosen_path import settled, small_nodes
@@ -342,9 +361,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", siz
 
     # Then what still lies in different components of one entry.
     named = entry.select("entry", "set").join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("component", "set")).drop("component")
-    parts = named.groupBy("entry", "label").agg(F.count("*").alias("c"))
-    main = parts.groupBy("entry").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("most"), F.count("*").alias("labels"))
-    main = cut(main.where("labels > 1").select(F.col("entry").alias("node"), "main", "m", (F.col("m") - F.col("most")).alias("others")))
+    main = cut(open_entries(entry.select("entry", "set"), named))
     open_rows = named.join(main.select(F.col("node").alias("entry")), "entry", "left_semi").select(F.col("entry").alias("node"), F.col("set").alias("sid"), "label")
     open_rows = cut(open_rows.join(classes.select(F.col("a").alias("sid"), "n", F.col("odd").alias("sketch")), "sid").select("node", "sid", "n", "sketch", "label"))
     release(spark)

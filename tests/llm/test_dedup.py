@@ -190,3 +190,11 @@ def test_components_take_few_rounds(spark, monkeypatch):
     got = dict(tuple(r) for r in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(8), "a", "b").collect())
     want = dict.fromkeys(range(1, 601), 0) | dict.fromkeys(range(1001, 1050), 1000) | dict.fromkeys([*range(2001, 2300), 5000], 2000)
     assert got == want and len(tables) <= 10
+
+
+def test_entries_of_the_same_sets_go_on_once(spark):
+    rows = [(e, s, s // 10) for e in range(40) for s in (10, 11, 20, 30)] + [(50, s, s // 10) for s in (10, 11, 20)] + [(60, s, 1) for s in (10, 11)] + [(70, s, 1) for s in (10, 10, 11)]
+    rows += [(80, s, s // 10) for s in (10, 10, 20)] + [(90, s, s // 10) for s in (10, 20, 20)]
+    named = spark.createDataFrame(rows, "entry long, set long, label long")
+    got = jaccard.open_entries(named.select("entry", "set"), named).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1, 4, 2), (50, 1, 3, 1), (80, 1, 3, 1), (90, 2, 3, 1)]
