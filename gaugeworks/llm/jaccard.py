@@ -43,6 +43,8 @@ PAIRS_FROM = 16
 FREQUENT_FROM = 24
 FREQUENT_MOST = 1 << 19
 GROUP_TOKENS = 1 << 20
+#: Entries that a task sorts at a time are GROUP_TOKENS by so much.
+BLOCK_PART = 4
 #: Remainders that shingles are counted by; two sets share at most the sum of the smaller counts.
 REMAINDERS = 256
 #: Bits of the map of wanted ids, and of one of its rows; a fuller map lets more texts pass, the join after it none.
@@ -209,7 +211,7 @@ def filed(docs: DataFrame, frequent, size: int, percent: int, shards: int) -> Da
                     keys.append(k)
                     sets.append(np.full(len(k), a, np.int64))
                     held += len(k)
-                    if held >= GROUP_TOKENS:
+                    if held >= GROUP_TOKENS // BLOCK_PART:
                         yield block()
                         keys, sets, held, seen = [], [], 0, set()
         yield block()
@@ -350,7 +352,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", siz
 
     real = docs.where(F.col("doc").isNotNull())
     shingles = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    entry = cut(filed(real, frequent, size, percent, max(8, shingles // (8 * GROUP_TOKENS))))
+    entry = cut(filed(real, frequent, size, percent, max(8, shingles // (4 * GROUP_TOKENS))))
     classes = cut(rows.where("n > 0 AND doc IS NOT NULL").groupBy("a").agg(F.min("doc").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.first("fine").alias("fine"), F.min("b").alias("b"), F.first("odd").alias("odd")))
     release(spark)
 

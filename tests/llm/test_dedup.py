@@ -198,3 +198,18 @@ def test_entries_of_the_same_sets_go_on_once(spark):
     named = spark.createDataFrame(rows, "entry long, set long, label long")
     got = jaccard.open_entries(named.select("entry", "set"), named).collect()
     assert sorted(tuple(r) for r in got) == [(0, 1, 4, 2), (50, 1, 3, 1), (80, 1, 3, 1), (90, 2, 3, 1)]
+
+
+def test_entries_are_sorted_in_small_blocks(monkeypatch):
+    """A task that holds 2**20 entries at a time takes an executor of small memory over its limit."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    monkeypatch.setattr(jaccard, "GROUP_TOKENS", 4000)
+    met = SimpleNamespace(groupBy=lambda *k: SimpleNamespace(applyInPandas=lambda f, s: None))
+    taken = []
+    jaccard.filed(SimpleNamespace(mapInPandas=lambda f, s: taken.append(f) or met), SimpleNamespace(value=np.zeros(0, np.uint64)), 5, 75, 1)
+    texts = pd.DataFrame({"text": [" ".join(f"w{i}x{j}" for j in range(204)) for i in range(200)]})
+    blocks = [sum(len(x) for x in b["sets"]) // 8 for b in taken[0]([texts])]
+    assert sum(blocks) == 200 * 51 and max(blocks) <= 1000 + 51
