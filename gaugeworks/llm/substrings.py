@@ -238,7 +238,7 @@ def first_docs(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     """Smallest document of each window of each segment, by an FM-index over the segments (columns words, ka, kb, low)."""
     parts = [w.split(b" ") for w in rows["words"]]
     sizes = np.array([len(p) for p in parts])
-    kinds, ids = np.unique(np.array([w for p in parts for w in p], dtype=object), return_inverse=True)
+    ids, kinds = pd.factorize(np.array([w for p in parts for w in p], dtype=object))  # any order of symbols serves
     starts = np.cumsum(sizes + 1) - sizes  # one separator before each segment
     stream = np.zeros(int(sizes.sum()) + len(parts) + 1, np.int64)
     inside = np.ones(len(stream), bool)
