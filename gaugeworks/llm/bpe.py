@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -75,7 +74,10 @@ def merge_words(v: vocab.Vocabulary, symbols: np.ndarray, word: np.ndarray) -> t
 
 
 class Encoder:
-    """Ids of whole texts; remembers the ids of words and of pieces between white space."""
+    """Ids of whole texts; remembers the ids of words and of pieces between white space.
+
+    Each task has its own, so what it has learnt goes with it and does not stay in the worker while other stages run there.
+    """
 
     def __init__(self, path: str):
         self.v = vocab.load(path)
@@ -155,17 +157,14 @@ class Encoder:
         return " ".join(map(self.v.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def encode(text: Column, path: str) -> Column:
     """Ids of each text, packed as little-endian unsigned 32-bit integers."""
 
     @F.pandas_udf("binary")
-    def ids(s: pd.Series) -> pd.Series:
-        return pd.Series(list(encoder(path).encode([t if isinstance(t, str) else None for t in s])), dtype=object)
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        e = Encoder(path)
+        for s in batches:
+            yield pd.Series(list(e.encode([t if isinstance(t, str) else None for t in s])), dtype=object)
 
     return ids(text)
 
@@ -174,8 +173,10 @@ def decode(ids: Column, path: str) -> Column:
     """Text of packed ids."""
 
     @F.pandas_udf("string")
-    def text(s: pd.Series) -> pd.Series:
-        return pd.Series([encoder(path).decode(bytes(b)) if b is not None else "" for b in s], dtype=object)
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        e = Encoder(path)
+        for s in batches:
+            yield pd.Series([e.decode(bytes(b)) if b is not None else "" for b in s], dtype=object)
 
     return text(ids)
 
@@ -184,9 +185,10 @@ def round_trip(text: Column, path: str) -> Column:
     """Ids and the text they decode to, in one pass over the texts: struct(ids binary, decoded string)."""
 
     @F.pandas_udf("ids binary, decoded string")
-    def both(s: pd.Series) -> pd.DataFrame:
-        e = encoder(path)
-        ids = list(e.encode([t if isinstance(t, str) else None for t in s]))
-        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([e.decode(b) for b in ids], dtype=object)})
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        e = Encoder(path)
+        for s in batches:
+            ids = list(e.encode([t if isinstance(t, str) else None for t in s]))
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series([e.decode(b) for b in ids], dtype=object)})
 
     return both(text)

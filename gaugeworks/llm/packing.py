@@ -19,6 +19,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.lineage import cut
-from .bpe import encoder
+from .bpe import Encoder
 
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 PIECES_IDS = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint,ids:binary>>"
@@ -37,17 +38,19 @@ def pieces(text: Column, path: str, capacity: int = 4096, end_id: int = 1, with_
     end = int(end_id).to_bytes(4, "little")
 
     @F.pandas_udf(PIECES_IDS if with_ids else PIECES)
-    def cut_up(s: pd.Series) -> pd.Series:
-        out = []
-        for ids in encoder(path).encode([t if isinstance(t, str) else None for t in s]):
-            raw = ids + end
-            rows = []
-            for i in range(0, len(raw), 4 * capacity):
-                part = raw[i : i + 4 * capacity]
-                row = {"piece": len(rows), "start": i // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)}
-                rows.append(row | {"ids": part} if with_ids else row)
-            out.append(rows)
-        return pd.Series(out, dtype=object)
+    def cut_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = Encoder(path)
+        for s in batches:
+            out = []
+            for ids in encoder.encode([t if isinstance(t, str) else None for t in s]):
+                raw = ids + end
+                rows = []
+                for i in range(0, len(raw), 4 * capacity):
+                    part = raw[i : i + 4 * capacity]
+                    row = {"piece": len(rows), "start": i // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)}
+                    rows.append(row | {"ids": part} if with_ids else row)
+                out.append(rows)
+            yield pd.Series(out, dtype=object)
 
     return cut_up(text)
 

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +46,23 @@ def test_small_memo_changes_nothing(texts, monkeypatch):
     assert [small.count(x or "") for _, x in texts] == [len(i) for i in library_ids(BYTE, [x for _, x in texts])[1]]
 
 
+def test_workers_keep_nothing_of_ended_encodings(frame, texts):
+    """What a task has learnt about words goes with it: the workers run other stages afterwards."""
+
+    def kept(batches):
+        import gc
+
+        gc.collect()
+        held = sum(len(e.memo) + len(e.words) for e in gc.get_objects() if type(e).__name__ == "Encoder")
+        for _ in batches:
+            yield pd.DataFrame({"held": [held]})
+
+    docs = frame(texts).repartition(8)
+    for column in (packing.pieces(F.col("text"), WORD), bpe.encode(F.col("text"), WORD), bpe.round_trip(F.col("text"), WORD)):
+        assert len(docs.select(column.alias("c")).collect()) == len(texts)
+        assert {r["held"] for r in docs.select("doc_id").mapInPandas(kept, "held long").collect()} == {0}
+
+
 def test_counts_equal_library(frame, texts):
     want = [len(i) for i in library_ids(BYTE, [x for _, x in texts])[1]]
     got = {r["doc_id"]: r["c"] for r in frame(texts).select("doc_id", token_count.count_tokens(F.col("text"), BYTE).alias("c")).collect()}
