@@ -462,10 +462,12 @@ def _tiles(rows: DataFrame, mains: DataFrame) -> DataFrame:
 def small_nodes(rows: DataFrame, mains: DataFrame) -> DataFrame:
     """Rows (node, sid, n, sketch, label) dealt so that each pair of labels of a node still meets and no node is large.
 
-    ``mains`` has each node's main label, its rows m and those outside the main label, others.
+    ``mains`` has each node's main label, its rows m and those outside the main label, others.  Large nodes are fewer than one
+    in LIMIT rows, so their names go to the tasks and the rows stay where they are.
     """
-    small = rows.join(mains.where(F.col("m") > LIMIT).select("node"), "node", "left_anti")
-    few, many = mains.where((F.col("m") > LIMIT) & (F.col("others") <= LIMIT)), mains.where((F.col("m") > LIMIT) & (F.col("others") > LIMIT))
+    large = mains.where(F.col("m") > LIMIT)
+    small = rows.join(F.broadcast(large.select("node")), "node", "left_anti")
+    few, many = F.broadcast(large.where(F.col("others") <= LIMIT)), F.broadcast(large.where(F.col("others") > LIMIT))
     return small.unionByName(_blocks(rows, few)).unionByName(_tiles(rows, many))
 
 

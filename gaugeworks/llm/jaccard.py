@@ -8,8 +8,8 @@ follows the size class of the smaller set of a pair, and a set is filed for each
 fewer than ``PAIRS_FROM`` shingles file single shingles only.  What counts as frequent changes the work, never the result.
 
 Entries meet in blocks of sorted hashes by shard; inside a block the sets of one entry follow its first set, which
-alone goes on to the shard, so a frequent entry costs a shard one row per block.  Entries of two or more sets are kept.
-Each set is first held against its hubs: a pair is dropped when its sizes or its counts of shingles by hash remainder rule a
+alone goes on to the shard, so a frequent entry costs a shard one row per block.  Entries of two or more sets are kept,
+without a set that all others are held against.  Each set is first held against its hubs: a pair is dropped when its sizes or its counts of shingles by hash remainder rule a
 link out, first by few remainders, then by about as many as the set has shingles; for what is left the whole sets of 64-bit
 shingle hashes are compared.  The sets of an entry that are still in different components are compared within one task, once for all
 entries of the same sets, by odd sketches, an entry of many sets in parts; what passes is proposed as a spanning forest, most alike first, so an entry
@@ -182,7 +182,10 @@ def described(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
 
 
 def filed(docs: DataFrame, frequent, size: int, percent: int, shards: int) -> DataFrame:
-    """Entries of two or more different sets: entry, set, hub (another set of the entry, or itself for its first set)."""
+    """Entries of two or more different sets: entry, set, hub (another set of the entry, or itself for its first set).
+
+    A set that is the hub of all others of its entry has no row of its own there, as each pair it forms is a row already.
+    """
     from .chosen_path import sets_of
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,8 +232,10 @@ def filed(docs: DataFrame, frequent, size: int, percent: int, shards: int) -> Da
             k, s, leads = k[order], s[order], leads[order]
             starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
             sizes = np.diff(np.r_[starts, len(k)])
-            shared = np.repeat((sizes > 1) | (np.add.reduceat(leads, starts, dtype=np.int64) > 0), sizes)
-            out.append((k[shared], s[shared], np.repeat(s[starts], sizes)[shared]))
+            hub = np.repeat(s[starts], sizes)
+            other = np.repeat(np.add.reduceat((leads > 0) & (s != hub), starts, dtype=np.int64) > 0, sizes)  # has another hub too
+            on = other | (s != hub)
+            out.append((k[on], s[on], hub[on]))
         k, s, h = (np.concatenate([o[i] for o in out]) for i in range(3))
         return pd.DataFrame({"entry": k.astype(np.int64), "set": s, "hub": h})
 
@@ -353,6 +358,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", siz
     real = docs.where(F.col("doc").isNotNull())
     shingles = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     entry = cut(filed(real, frequent, size, percent, max(8, shingles // (4 * GROUP_TOKENS))))
+    release(spark)
     classes = cut(rows.where("n > 0 AND doc IS NOT NULL").groupBy("a").agg(F.min("doc").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.first("fine").alias("fine"), F.min("b").alias("b"), F.first("odd").alias("odd")))
     release(spark)
 
