@@ -6,17 +6,23 @@ import numpy as np
 
 
 def order_to(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix order by the first ``depth`` symbols at least (prefix doubling); enough to search patterns of that length."""
+    """Suffix order by the first ``depth`` symbols at least (prefix doubling); enough to search patterns of that length.
+
+    Places and ranks take half a word where they fit, and one array of whole words is held beside them.
+    """
     n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    order, h = np.argsort(rank, kind="stable"), 1
+    kind = np.int32 if n < 1 << 31 else np.int64
+    rank = np.unique(symbols, return_inverse=True)[1].astype(kind)
+    order, h = np.argsort(rank, kind="stable").astype(kind), 1
     while h < depth:
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - h] = rank[h:] + 1
-        key = rank * (n + 2) + ahead
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
+        key = rank.astype(np.int64)
+        key *= n + 2
+        key[: n - h] += rank[h:]
+        key[: n - h] += 1
+        order = np.argsort(key, kind="stable").astype(kind)
+        key = key[order]
+        rank[order[0]] = 0
+        rank[order[1:]] = np.cumsum(key[1:] != key[:-1], dtype=kind)
         h *= 2
     return order
 
@@ -27,7 +33,7 @@ class WaveletMatrix:
     def __init__(self, symbols: np.ndarray, kinds: int):
         self.bits = max(1, int(kinds - 1).bit_length())
         self.levels = []
-        seq = symbols.astype(np.int64)
+        seq = symbols.astype(np.int32 if kinds < 1 << 31 else np.int64)
         for level in range(self.bits - 1, -1, -1):
             flags = (seq >> level & 1).astype(np.uint8)
             packed = np.packbits(np.r_[flags, np.zeros(-len(flags) % 64 + 64, np.uint8)], bitorder="little").view(np.uint64)

@@ -18,7 +18,9 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -236,18 +238,24 @@ def _unpacked(rows: pd.DataFrame) -> pd.DataFrame:
 
 def first_docs(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     """Smallest document of each window of each segment, by an FM-index over the segments (columns words, ka, kb, low)."""
-    parts = [w.split(b" ") for w in rows["words"]]
-    sizes = np.array([len(p) for p in parts])
-    ids, kinds = pd.factorize(np.array([w for p in parts for w in p], dtype=object))  # any order of symbols serves
+    segments = rows["words"].tolist()
+    sizes = np.array([w.count(b" ") + 1 for w in segments])
+    # Words are numbered as they are split (any order of symbols serves), so only different ones are held.
+    kinds: defaultdict[bytes, int] = defaultdict(count(1).__next__)
+    ids = np.fromiter(map(kinds.__getitem__, chain.from_iterable(w.split(b" ") for w in segments)), np.int32, int(sizes.sum()))
+    n_kinds = len(kinds) + 1
+    del kinds
     starts = np.cumsum(sizes + 1) - sizes  # one separator before each segment
-    stream = np.zeros(int(sizes.sum()) + len(parts) + 1, np.int64)
+    stream = np.zeros(len(ids) + len(segments) + 1, np.int32)
     inside = np.ones(len(stream), bool)
     inside[starts - 1] = inside[-1] = False
-    stream[inside] = ids + 1
-    index = FMIndex(stream, len(kinds) + 1, length)
-    number = np.cumsum(np.r_[~inside]) - 1
+    stream[inside] = ids
+    del ids
+    index = FMIndex(stream, n_kinds, length)
+    number = np.cumsum(~inside, dtype=np.int32) - 1
     low = np.append(rows["low"].to_numpy(np.int64), np.iinfo(np.int64).max)
     by_suffix = np.append(low[number[index.order]], np.iinfo(np.int64).max)  # ranges may end at the last suffix
+    del number
     n_windows = sizes - length + 1
     windows = np.repeat(starts - np.r_[0, np.cumsum(n_windows)[:-1]], n_windows) + np.arange(int(n_windows.sum()))
     least = np.empty(len(windows), np.int64)
